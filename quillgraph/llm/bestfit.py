@@ -74,10 +74,21 @@ class ComplementIndex:
         return None
 
 
-def plan_sequences(lengths: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(how many, lengths) of the sequences that hold all pieces, given how many pieces have each length."""
+Plan = list[tuple[int, tuple[int, ...]]]
+
+
+def plan_sequences(lengths: dict[int, int], capacity: int) -> Plan:
+    """(how many, lengths) of the sequences that hold all pieces, given how many pieces have each length.
+
+    Combinations that use up small lengths early can leave large ones without a partner, so plans with exact fills of up to one,
+    two and three lengths are made and the one of fewest sequences is taken.
+    """
+    return min((_plan(lengths, capacity, most) for most in (3, 2, 1)), key=lambda plan: sum(n for n, _ in plan))
+
+
+def _plan(lengths: dict[int, int], capacity: int, most: int) -> Plan:
     counts = {k: n for k, n in lengths.items() if n}
-    plan: list[tuple[int, tuple[int, ...]]] = []
+    plan: Plan = []
     index = ComplementIndex(counts)
 
     def use(n: int, items: tuple[int, ...]) -> None:
@@ -90,7 +101,7 @@ def plan_sequences(lengths: dict[int, int], capacity: int) -> list[tuple[int, tu
             use(counts[size], (size,))
         while counts[size]:
             gap = capacity - size
-            rest = next((r for find in (index.single, index.pair, index.triple) if (r := find(gap)) and index.left((size, *r))), None)
+            rest = next((r for find in (index.single, index.pair, index.triple)[:most] if (r := find(gap)) and index.left((size, *r))), None)
             if rest is None:
                 break
             use(index.left((size, *rest)), (size, *rest))
@@ -138,7 +149,7 @@ def plan_sequences(lengths: dict[int, int], capacity: int) -> list[tuple[int, tu
     return plan
 
 
-def ranges(plan: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ranges(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pieces by (length, rank): sorted keys of where ranges begin, and each range's first sequence less its first rank, and offset."""
     key, base, offset = [], [], []
     used: dict[int, int] = {}
@@ -182,7 +193,7 @@ def token_pieces(df: DataFrame, vocabulary_path: str, capacity: int, end_token:
     return work.mapInArrow(run, schema)
 
 
-def place_pieces(pieces: DataFrame, plan: list[tuple[int, tuple[int, ...]]], n: int) -> DataFrame:
+def place_pieces(pieces: DataFrame, plan: Plan, n: int) -> DataFrame:
     """Add sequence_id and offset to pieces (any columns beside ``length``; ``n`` rows) under a plan for their lengths."""
     salts = max(1, min(MOST_SALTS, n // CELL_PIECES))
     columns = pieces.columns

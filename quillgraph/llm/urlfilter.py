@@ -21,22 +21,25 @@ DIMENSIONS, SIZES = 4096, (3, 4, 5)
 MOST_LABELLED, MOST_RULES = 1000, 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_BAD = """casino-royal.example/en/1 online-casino.example/de/22.html best-casino-bonus.example/en/7 www.casino-spin.example/fr/81 m.grand-casino.example/es/4 win-casino-now.example/en/306
-free-bets-today.example/en/3 sports-bets.example/de/19 www.free-bets-club.example/en/540 live-betting.example/fr/77.html m.bets-online.example/en/11 bet-win.example/es/92
-cheap-pills-shop.example/en/8 buy-pills.example/de/14 www.cheap-meds.example/en/65 pills-online.example/fr/3.html m.diet-pills.example/en/201 cheap-viagra.example/es/33
-adult-cams.example/en/2 xxx-adult.example/de/71 www.adult-videos.example/en/5 m.adult-dating.example/fr/6 adult-x-rated.example/en/49.html hot-adult-chat.example/es/18
-spam-links.example/en/9 link-farm.example/de/120 www.seo-spam.example/en/17 spam-farm-net.example/fr/8 m.spam-mail.example/en/31.html content-farm.example/es/44
-ads-server.example/en/4 ad-tracker.example/de/66 www.ads-click.example/en/12 click-track.example/fr/9.html m.track-ads.example/en/72 pop-ads-track.example/es/5
-win-prizes.example/en/10 free-win-iphone.example/de/2 www.lottery-win.example/en/90 payday-loans.example/fr/15 m.quick-loans.example/en/27.html replica-watches.example/es/61"""
-_GOOD = """city-library.example/en/1 www.museum-history.example/de/22.html blog.gardening.example/en/7 university.example/fr/81 m.weather-report.example/es/4 www.daily-news.example/en/306
-docs.python-guide.example/en/3 the-theatre.example/de/19 blog.travelnotes.example/en/540 www.cooking-school.example/fr/77.html m.townhall.example/en/11 research-lab.example/es/92
-www.bookshop.example/en/8 blog.thinker.example/de/14 thermal-springs.example/en/65 m.athletics.example/fr/3.html www.another-thing.example/en/201 together.example/es/33
-forest-trail.example/en/2 www.ontheriver.example/de/71 blog.handicraft.example/en/5 m.brewery-tour.example/fr/6 astronomy.example/en/49.html www.mathematics.example/es/18
-language-course.example/en/9 blog.weathervane.example/de/120 www.orchestra.example/en/17 m.lighthouse.example/fr/8 parish-church.example/en/31.html www.bicycle-repair.example/es/44
-hospital-info.example/en/4 blog.mothering.example/de/66 www.thistle.example/en/12 m.northern-lights.example/fr/9.html stationery.example/en/72 www.trainspotting.example/es/5
-chess-club.example/en/10 blog.furthermore.example/de/2 www.science-fair.example/en/90 m.thunderstorm.example/fr/15 open-archive.example/en/27.html www.heather-moor.example/es/61"""
+_BAD = """casino-royal online-casino casino-bonus casino-spin grand-casino casino-win win-casino free-bets sports-bets bets-club live-bets bet-win bets-online
+cheap-pills buy-pills cheap-meds pills-online diet-pills cheap-viagra adult-cams xxx-adult adult-videos adult-dating adult-x hot-adult spam-links link-farm seo-spam
+spam-farm spam-mail content-farm ads-server ad-tracker ads-click click-track track-ads ads-pop win-prizes free-win lottery-win payday-loans quick-loans replica-watches"""
+_GOOD = """city-library museum history gardening university weather-report daily-news python-guide the-theatre travelnotes cooking-school townhall research-lab bookshop
+thinker thermal athletics another-thing together forest-trail ontheriver handicraft brewery astronomy mathematics language-course weathervane orchestra lighthouse
+parish-church bicycle hospital mothering thistle northern-lights stationery trainspotting chess-club furthermore science-fair thunderstorm open-archive heather-moor
+national-station action-sports fashion traditions education relations thatched-roof thanks whatthat athens further anthem rhythm wealth earth-science other-side there threads
+pilgrim filling-station addresses advice better-living alphabet window-maker winter spinning trackside farmhouse farm-shop freedom freelance linking-words loaning-books"""
+_PREFIXES, _PATHS = ("", "www.", "m.", "blog."), ("/en/1", "/de/22.html", "/fr/306", "/es/44/", "/en/7?page=2", "/en/540#top")
+
+
+def _urls(hosts: str, label: int) -> tuple[tuple[str, int], ...]:
+    """Each host with two of the prefixes and paths in turn, so that these say nothing about the label."""
+    names = hosts.split()
+    return tuple((f"https://{_PREFIXES[(k + j * 2 + k // 4) % 4]}{name}.example{_PATHS[(k + 3 * j) % 6]}", label) for k, name in enumerate(names) for j in (0, 1))
+
+
 #: The labelled table: 1 for urls to block.
-LABELLED: tuple[tuple[str, int], ...] = tuple((f"https://{u}", label) for urls, label in ((_BAD, 1), (_GOOD, 0)) for u in urls.split())
+LABELLED: tuple[tuple[str, int], ...] = _urls(_BAD, 1) + _urls(_GOOD, 0)
 
 
 def host_and_path(url: Column) -> Column:
@@ -50,15 +53,16 @@ def host_and_path(url: Column) -> Column:
 def features(host: Column, path: Column, dimensions: int = DIMENSIONS, sizes: tuple[int, ...] = SIZES) -> Column:
     """Distinct buckets (from 1) of the n-grams of host and path, with their ends marked."""
 
+    def bucket(characters: Column, size: int):  # noqa: ANN202
+        return lambda i: F.pmod(F.xxhash64(*[F.element_at(characters, i + j) for j in range(size)]), F.lit(dimensions)).cast("int") + 1
+
     def grams(characters: Column) -> Column:
         n = F.size(characters)
-        each = []
-        for k in sizes:
-            at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-            each.append(F.transform(at, lambda i, k=k: F.pmod(F.xxhash64(*[F.element_at(characters, i + j) for j in range(k)]), F.lit(dimensions)).cast("int") + 1))
-        return F.array_distinct(F.concat(*each))
+        places = [F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>")) for k in sizes]
+        return F.array_distinct(F.concat(*[F.transform(at, bucket(characters, k)) for at, k in zip(places, sizes, strict=True)]))
 
-    return bound(F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), ""), lambda c: grams(F.filter(c, lambda x: x != "")))
+    characters = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
+    return bound(F.filter(characters, lambda x: x != ""), grams)
 
 
 def fit(rows: list[tuple[list[int], int]], dimensions: int = DIMENSIONS, rounds: int = 300, rate: float = 2.0, penalty: float = 0.002) -> tuple[float, list[float]]:
