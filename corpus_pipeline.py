@@ -1,18 +1,74 @@
-"""A corpus pipeline over ``documents`` (counted as part of the llm subpackage): filters, near-duplicates, repeats, packing."""
+"""A corpus pipeline over ``documents`` (counted as part of the llm subpackage): filters, near-duplicates, repeats, packing.
+
+Each stage takes what the one before kept, as a table with the columns of documents, and returns such a table; the last returns
+the places of all pieces in packed sequences. Every stage works on whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.llm import bestfit, quality, simhash, substring, toxicity
+from quillgraph.llm.common import materialize, table
+from quillgraph.llm.queries import TOXIC_FROM, fold, vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def _with_text(df: DataFrame, text: F.Column, columns: list[str]) -> DataFrame:
+    """``columns`` of ``df`` with a new text and its length."""
+    changed = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return df.select(*[changed.get(c, F.col(f"`{c}`")) for c in columns])
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: lines that fail go, documents that fail go."""
+    judged = quality.quality_rules(docs).where("quality.kept")
+    return _with_text(judged, F.col("quality.clean_text"), docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity, learnt from those of its input that have a label and are not held out; documents that score TOXIC_FROM or more go."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 2).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("label"))
+    model = toxicity.train(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("__id")).select("text", "label"))
+    return toxicity.score(docs, model, out_col="__score").where(F.col("__score") < TOXIC_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash groups: the document of the smallest id stays."""
+    return simhash.keep_first(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has go; no document does, though it may be left empty."""
+    passed = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    return _with_text(substring.remove_repeats(docs, passed=passed, layout=True), F.col("kept"), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of what is left."""
+    return bestfit.best_fit_packing(docs, vocabulary_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", clean),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeats),
+    ("best_fit_packing", pack),
+]
+#: SQL can't express learnt scores or 64-bit hashes; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; what a stage returns is written to the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name)
     return docs

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import bestfit, bpe, chat, quality, tokenbin, urlfilter
+from . import ann, bestfit, bpe, chat, quality, simhash, substring, tokenbin, toxicity, urlfilter
 from .common import table
 
 #: Name of the vocabulary file of the queries; ``public_tokenizers`` knows its place.
@@ -25,6 +24,26 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), emit=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def fold(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learnt from the documents whose label is not held out."""
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 2).select("doc_id", F.col("toxic").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.train(docs.join(labels, "doc_id").select("text", "label"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))).alias("held_out"), "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def op3_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.pack_token_rows(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -35,6 +54,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(spark.sql(own))))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -53,19 +77,35 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe_roundtrip": op1_bpe_roundtrip,
-    "op3_token_rows": op3_token_rows,
-    "op4_chat_format": op4_chat_format,
-    "op6_url_filter": op6_url_filter,
-    "op7_best_fit": op7_best_fit,
-    "op8_quality_rules": op8_quality_rules,
+    f.__name__: f for f in (op1_bpe_roundtrip, op2_toxicity, op3_token_rows, op4_chat_format, op5_substring_dedup, op6_url_filter, op7_best_fit, op8_quality_rules, op9_nearest, op10_simhash)
 }
 
 _CONTROLS = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "</s>", "<|role|>", "<|text|>", "<|end|>")
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
 
 ORACLE: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 49), ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)
+),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY content) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM repeats),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w)
+SELECT w.doc_id, any_value(len(w.words))::BIGINT AS n_words, count(g.at)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.at) FILTER (g.at IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN each e ON e.doc_id = w.doc_id LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.at = e.at
+GROUP BY w.doc_id""",
     "op4_chat_format": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -85,4 +125,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM t GROUP BY conv_id""",
 }
 
-__all__ = ["ORACLE", "QUERIES", "T", "vocabulary_path"]
+__all__ = ["ORACLE", "QUERIES", "vocabulary_path"]
