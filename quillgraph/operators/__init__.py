@@ -1,0 +1 @@
+"""Relational operators: triples, spans, networks, samples, evaluation."""

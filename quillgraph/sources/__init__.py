@@ -1,0 +1 @@
+"""Readers and writers: XML letters, Turtle, stores, JSON files, tables."""
