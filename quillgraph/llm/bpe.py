@@ -15,6 +15,7 @@ input other than the text are passed on; output columns replace input columns of
 from __future__ import annotations
 
 import hashlib
+import struct
 import threading
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from .common import as_bytes, sliced
 from .tokens import SPLIT, Vocabulary
 
 #: Words whose encodings one Python worker keeps; the cache starts anew beyond it.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
 #: Distinct words in one trie.
 TRIE_WORDS = 40_000
 #: Longer words don't stay in the cache.
@@ -38,6 +39,9 @@ CACHED_LENGTH = 64
 _UNSURE = regex.compile(r"[՘֋֌࢏౜೜₏₝-₟꟎-꟱꭬꭭\U00010000-\U0001efff\U0001fb00-\U0010ffff]")
 
 
+_NEVER = 1 << 62  # the rank of a merge that doesn't come
+
+
 class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self._pieces = vocabulary.pieces()
@@ -49,19 +53,20 @@ class TrieEncoder:
         self._pair = {(a << 32) | b: rank for rank, (a, b, _) in reversed(list(enumerate(vocabulary.merges)))}
         self._made = {i: (rank, a, b) for rank, (a, b, i) in reversed(list(enumerate(vocabulary.merges)))}
         self._tokens = {b: i for b, i in vocabulary.id_of.items() if len(b) == 1 or i in self._made}
-        self._longest = max(map(len, self._tokens), default=1)
-        self._left: dict[int, list[tuple[int, float]]] = {}
-        self._right: dict[int, list[tuple[int, float]]] = {}
+        #: Every start of a token; its id if it is a token, else -1.
+        self._starts = {b[:k]: -1 for b in self._tokens for k in range(1, len(b))} | self._tokens
+        self._left: dict[int, list[tuple[int, int]]] = {}
+        self._right: dict[int, list[tuple[int, int]]] = {}
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, bytes] = {}
 
     # -- neighbours ---------------------------------------------------------------------------------------------------
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of ``token`` while it is built up from bytes, each with the rank of the merge that ends it."""
         known = (self._left, self._right)[side]
         if token not in known:
-            chain, above = [], float("inf")
+            chain, above = [], _NEVER
             at = token
             while True:
                 chain.append((at, above))
@@ -84,7 +89,7 @@ class TrieEncoder:
             if rank is not None and rank < x_until and rank <= y_until:
                 return False
             if x_until <= y_until:
-                if x_until == float("inf"):
+                if x_until == _NEVER:
                     return True
                 i += 1
             else:
@@ -94,56 +99,59 @@ class TrieEncoder:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word, little-endian, 32 bits each."""
-        child: dict[int, int] = {}
-        below: list[list[int]] = [[]]
-        ends: dict[int, str] = {}
+        below: dict[bytes, list[bytes]] = {b"": []}  # the trie: each prefix with those that are one byte longer
+        ends: dict[bytes, str] = {}
         for word in words:
-            node = 0
-            for byte in word.encode("utf-8", "replace"):
-                key = (node << 8) | byte
-                to = child.get(key)
-                if to is None:
-                    to = child[key] = len(below)
-                    below.append([])
-                    below[node].append((to << 8) | byte)
-                node = to
-            if node:
-                ends[node] = word
-        del child
+            text = word.encode("utf-8", "replace")
+            ends[text] = word
+            size = len(text)
+            while (at := text[:size]) not in below:
+                size -= 1
+            while size < len(text):
+                size += 1
+                longer = text[:size]
+                below[at].append(longer)
+                below[longer] = []
+                at = longer
         out = {"": b""}
-        path, last = bytearray(), [-1]
-        tokens, fits, longest, pieces = self._tokens, self._fits, self._longest, self._pieces
-        todo = [(key, 1) for key in below[0]]
+        ends.pop(b"", None)
+        starts, fits, pieces = self._starts, self._fits, self._pieces
+        last = [-1]
+        reach = [0]  # for each prefix, the length of its longest end that a token starts with
+        todo = below[b""]
         while todo:
-            key, depth = todo.pop()
-            node = key >> 8
-            del path[depth - 1 :], last[depth:]
-            path.append(key & 255)
-            for size in range(min(depth, longest), 0, -1):
-                token = tokens.get(bytes(path[depth - size :]))
-                if token is None:
-                    continue
-                before = last[depth - size]
-                if before < 0:
-                    break
-                both = (before << 32) | token
-                fit = fits.get(both)
-                if fit is None:
-                    if len(fits) > 4_000_000:
-                        fits.clear()
-                    fit = fits[both] = self.may_neighbour(before, token)
-                if fit:
-                    break
+            prefix = todo.pop()
+            depth = len(prefix)
+            size = reach[depth - 1] + 1
+            while (token := starts.get(prefix[depth - size :])) is None:
+                size -= 1
+            del last[depth:], reach[depth:]
+            reach.append(size)
+            while True:
+                if token is not None and token >= 0:
+                    before = last[depth - size]
+                    if before < 0:
+                        break
+                    both = (before << 32) | token
+                    fit = fits.get(both)
+                    if fit is None:
+                        if len(fits) > 4_000_000:
+                            fits.clear()
+                        fit = fits[both] = self.may_neighbour(before, token)
+                    if fit:
+                        break
+                size -= 1
+                token = starts.get(prefix[depth - size :])
             last.append(token)
-            if node in ends:
+            if prefix in ends:
                 ids, at = [], depth
                 while at:
                     token = last[at]
                     ids.append(token)
                     at -= len(pieces[token])
-                out[ends[node]] = np.array(ids[::-1], "<u4").tobytes()
-            for k in below[node]:
-                todo.append((k, depth + 1))
+                ids.reverse()
+                out[ends[prefix]] = _pack(ids)
+            todo += below[prefix]
         return out
 
     # -- texts -----------------------------------------------------------------------------------------------------------
@@ -192,6 +200,10 @@ class TrieEncoder:
         return joined
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _encoders: dict[int, TrieEncoder] = {}
 _lock = threading.Lock()
 
