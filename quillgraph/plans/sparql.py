@@ -97,7 +97,9 @@ class Parser:
     def query(self) -> Select:
         while self.word("PREFIX", "BASE"):
             if self.take()[1].upper() == "PREFIX":
-                name = self.take()[1]
+                kind, name = self.take()
+                if kind != "name" or not name.endswith(":") or self.peek()[0] != "iri":
+                    raise SparqlError(f"not a prefix: {name!r}")
                 self.prefixes[name[:-1]] = self.take()[1][1:-1]
             else:
                 self.base = self.take()[1][1:-1]

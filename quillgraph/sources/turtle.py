@@ -81,7 +81,9 @@ class Reader:
     def _directive(self) -> None:
         text = self._next()[1]
         if text.lower().endswith("prefix"):
-            name = self._next()[1]
+            kind, name = self._next()
+            if kind != "name" or not name.endswith(":") or self._peek()[0] != "iri":
+                raise TurtleError(f"not a prefix: {name!r}")
             self.prefixes[name[:-1]] = self._iri(self._next()[1])
         else:
             self._base = self._iri(self._next()[1])
