@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import bestfit, quality, simhash, substring, toxicity
 from quillgraph.llm.common import materialize, table
-from quillgraph.llm.queries import TOXIC_FROM, fold, vocabulary_path
+from quillgraph.llm.queries import TOXIC_FROM, toxicity_model, vocabulary_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,8 +32,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity, learnt from those of its input that have a label and are not held out; documents that score TOXIC_FROM or more go."""
-    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 2).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("label"))
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("__id")).select("text", "label"))
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out_col="__score").where(F.col("__score") < TOXIC_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -31,16 +31,15 @@ def fold(doc_id: Column) -> Column:
 TOXIC_FROM = 0.3
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    """Learnt from the documents whose label is not held out."""
-    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 2).select("doc_id", F.col("toxic").alias("label"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.train(docs.join(labels, "doc_id").select("text", "label"))
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from those of ``docs`` whose label is not held out."""
+    return toxicity.train(toxicity.training_rows(docs, labels, fold(F.col("doc_id")) != 2))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))).alias("held_out"), "text")
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), keep=["doc_id", "held_out"])
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 

@@ -1,15 +1,15 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the hashed n-grams of each lower-cased word with its ends marked, present or not. How many documents of either class
-have a feature is counted over all labelled rows, with counts summed in each task before they are shuffled (at most 2**BITS
-numbers). The log-count ratio of a feature is that of its smoothed shares in the two classes. Features whose ratio stands out
-from chance are kept (MOST_FEATURES at most), each scaled by its ratio, and a logistic regression over them is fitted on
-the driver, on at most FIT_ROWS labelled rows (smallest hashes of their texts, so none of them is favoured).
+Features are the hashed n-grams of each lower-cased word with its ends marked, present or not. It learns from at most TRAIN_ROWS
+labelled rows (a share by the hash of their ids, so small label tables are used whole). How many rows of either class have a
+feature is summed in each task before it is shuffled. The log-count ratio of a feature is that of its smoothed shares in
+the two classes. Features whose ratio stands out from chance are kept (MOST_FEATURES at most), each scaled by its ratio, and
+a logistic regression over them is fitted on the driver from the rows' kept features.
 
 Scoring reads whole texts, one row at a time; the model is at most MOST_FEATURES numbers. Words recur, so a worker keeps which kept
 features a word has.
 
-Nulls and empty texts have no feature: the score is that of the intercept. Rows whose label is null are not learnt from. If no
+Nulls and empty texts have no feature: the score is that of the intercept. Rows whose label or id is null are not learnt from. If no
 labelled row is left, or all have one label, the score is the smoothed share of label 1. Repeated rows count each.
 """
 
@@ -20,39 +20,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, sliced
+from .common import as_bytes, sliced, unused
 
 #: Bits of a feature's hash.
 BITS = 20
 #: Lengths of n-grams; a word's ends are marked by a space each.
 SIZES = (3, 4, 5, 6)
-#: Characters of a word that are read at most at a time; longer words are read in overlapping parts, so no n-gram is lost.
-PART = 64
-MOST_FEATURES, FIT_ROWS = 20_000, 20_000
-#: Documents of the training rows that must have a feature, and how many standard errors its ratio must be from 0.
-LEAST_ROWS, LEAST_Z = 4, 2.5
+#: Labelled rows that are learnt from, and features that are kept, at most.
+TRAIN_ROWS, MOST_FEATURES = 12_000, 5_000
+#: Training rows that must have a feature, and how many standard errors its ratio must be from 0.
+LEAST_ROWS, LEAST_Z = 4, 3.0
 SMOOTH = 0.5
-_CACHED = 400_000
-
-
-def word_features(word: str) -> list[int]:
-    """Hashed n-grams of one word; may repeat."""
-    marked = f" {word} ".encode()
-    return [xxhash.xxh32_intdigest(marked[k : k + n]) & ((1 << BITS) - 1) for n in SIZES for k in range(len(marked) - n + 1)]
-
-
-def parts(word: str) -> Iterator[str]:
-    """The word, or overlapping parts of a very long one."""
-    if len(word) <= PART:
-        yield word
-    else:
-        step = PART - max(SIZES)
-        yield from (word[at : at + PART] for at in range(0, len(word), step))
+#: Words that a worker keeps the features of, and the length of those it keeps.
+CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word in the list, hashed n-gram), in order of place; n-grams of a word may repeat. Words hold no spaces."""
+    x = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), "<u4").astype("u8")
+    spaces = np.cumsum(x == 32)
+    places, features = [], []
+    for n in SIZES:
+        m = len(x) - n + 1
+        if m <= 0:
+            continue
+        h = np.zeros(m, "u8")
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + x[k : k + m]
+        h = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        inside = np.flatnonzero(spaces[n - 2 : n - 2 + m] == spaces[:m])
+        places.append(spaces[inside] - 1)
+        features.append((h[inside] >> np.uint64(64 - BITS)).astype("i4"))
+    place, feature = np.concatenate(places), np.concatenate(features)
+    order = np.argsort(place, kind="stable")
+    return place[order], feature[order]
 
 
 @dataclass
@@ -68,69 +75,91 @@ class Scorer:
     """Which kept features texts have."""
 
     def __init__(self, features: np.ndarray):
-        self._at = {int(f): k for k, f in enumerate(features)}
+        self._index = np.full(1 << BITS, -1, "i4")
+        self._index[features] = np.arange(len(features))
         self._words: dict[str, tuple[int, ...]] = {}
 
-    def rows(self, text: str) -> set[int]:
-        """Indexes of the kept features that a text has."""
-        found: set[int] = set()
-        words, at = self._words, self._at
-        for word in set(text.lower().split()):
-            known = words.get(word)
-            if known is None:
-                known = tuple({at[f] for part in parts(word) for f in word_features(part) if f in at})
-                if len(word) <= PART:
-                    if len(words) > _CACHED:
-                        words.clear()
-                    words[word] = known
-            if known:
-                found.update(known)
+    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        found: dict[str, tuple[int, ...]] = dict.fromkeys(words, ())
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            place, feature = word_features(some)
+            index = self._index[feature]
+            place, index = place[index >= 0], index[index >= 0]
+            edges = np.flatnonzero(np.diff(place)) + 1
+            for which, own in zip(place[np.concatenate(([0], edges))].tolist() if len(place) else (), np.split(index, edges), strict=False):
+                found[some[which]] = tuple(set(own.tolist()))
         return found
 
-
-def feature_counts(labelled: DataFrame, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, rows of label 1, rows of label 0) over all labelled rows; feature -1 stands for all rows."""
-    work = labelled.select(F.col(f"`{text_col}`").alias("__text"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    def rows(self, texts: list[str]) -> list[list[int]]:
+        """Sorted indexes of the kept features that each text has."""
+        split = [set(text.lower().split()) for text in texts]
+        if len(self._words) > CACHED_WORDS:
+            self._words = {}
+        known = self._words
+        new = [w for w in set().union(*split) if w not in known]
+        long = [w for w in new if len(w) > CACHED_LENGTH]
+        known.update(self._learn([w for w in new if len(w) <= CACHED_LENGTH]))
+        if long:
+            known = known | self._learn(long)
+        out = []
+        for words in split:
+            found: set[int] = set()
+            for features in filter(None, map(known.__getitem__, words)):
+                found.update(features)
+            out.append(sorted(found))
+        return out
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(text, label) of documents with a label for which ``allowed`` (over labels) holds, of at most TRAIN_ROWS labels.
+
+    Where there are more, a share of the labels by the hash of their id is taken. The labels taken are broadcast, as their number is
+    bounded, so texts are not shuffled.
+    """
+    rows = labels.where(allowed & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
+    n = rows.count()
+    if n > TRAIN_ROWS:
+        cut = int(0.97 * TRAIN_ROWS / n * (1 << 32))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 32)) < cut).limit(TRAIN_ROWS)
+    return docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(rows), F.col("__doc") == F.col("__id")).select("text", "label")
+
+
+def feature_counts(labelled: DataFrame) -> DataFrame:
+    """(f, pos, neg): rows of label 1 and of label 0 that have each feature; -1 stands for all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), "i4")
         rows = [0, 0]
-        words: dict[str, np.ndarray] = {}
-        for batch in sliced(batches, "__text"):
-            for text, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for batch in sliced(batches, "text"):
+            split = [list(set(t.decode("utf-8", "replace").lower().split())) for t in as_bytes(batch.column(0))]
+            every = list(set().union(*split))
+            number = {w: k for k, w in enumerate(every)}
+            place, feature = word_features(every)
+            start = np.searchsorted(place, np.arange(len(every) + 1))
+            for words, y in zip(split, batch.column(1).to_pylist(), strict=True):
                 rows[y] += 1
-                found = []
-                for word in set(text.decode("utf-8", "replace").lower().split()):
-                    known = words.get(word)
-                    if known is None:
-                        known = np.array([f for part in parts(word) for f in word_features(part)], "i4")
-                        if len(words) > _CACHED // 4:
-                            words.clear()
-                        if len(word) <= PART:
-                            words[word] = known
-                    found.append(known)
-                if found:
-                    counts[y, np.unique(np.concatenate(found))] += 1
+                if words:
+                    own = np.fromiter(map(number.__getitem__, words), "i8", len(words))
+                    size = start[own + 1] - start[own]
+                    at = np.repeat(start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    counts[y, np.unique(feature[at])] += 1
         at = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1).astype("i4")), pa.array(np.append(counts[1, at], rows[1]).astype("i8")), pa.array(np.append(counts[0, at], rows[0]).astype("i8"))], names=["f", "pos", "neg"]
-        )
-
-    sums = work.mapInArrow(run, "f int, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    pos, neg = F.col("pos"), F.col("neg")
-    got = sums.where((F.col("f") < 0) | (pos + neg >= LEAST_ROWS)).toArrow()  # at most 2**BITS + 1 rows of numbers
-    del pos, neg
-    return tuple(got.column(c).to_numpy() for c in ("f", "pos", "neg"))
-
-
-def fit(rows: list[tuple[set[int], int]], ratios: np.ndarray, rounds: int = 200, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of the regression on scaled features, by accelerated gradient steps with a ridge penalty."""
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    feature = np.fromiter((k for f, _ in rows for k in sorted(f)), "i8", len(row))
-    value, y = ratios[feature], np.array([y for _, y in rows], "f8")
-    n = len(rows)
+        long = lambda y: pa.array(np.append(counts[y, at], rows[y]).astype("i8"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype("i4")), long(1), long(0)], names=["f", "pos", "neg"])
+
+    sums = labelled.select("text", "label").mapInArrow(run, "f int, pos long, neg long")
+    return sums.groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, ratios: np.ndarray, rounds: int = 200, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of the regression on scaled features, by accelerated gradient steps with a ridge penalty.
+
+    ``row`` and ``feature`` say which rows have which features.
+    """
+    value, n = ratios[feature], len(y)
     # A bound on the curvature: the largest eigenvalue of X'X/4, by power steps.
-    v = np.ones(len(ratios))
+    v, norm = np.ones(len(ratios)), 0.0
     for _ in range(20):
         u = np.bincount(row, value * v[feature], n)
         v = np.bincount(feature, value * u[row], len(ratios))
@@ -142,68 +171,61 @@ def fit(rows: list[tuple[set[int], int]], ratios: np.ndarray, rounds: int = 200,
     share = (y.sum() + SMOOTH) / (n + 2 * SMOOTH)
     bias = np.log(share / (1 - share))
     w = old = np.zeros(len(ratios))
-    b_step = 4 / n
     for t in range(rounds):
         look = w + t / (t + 3) * (w - old)
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, value * look[feature], n), -500, 500)))
         g = np.bincount(feature, value * (p - y)[row], len(ratios)) + penalty * look
         old, w = w, look - step * g
-        bias -= b_step * (p - y).sum()
+        bias -= 4 / n * (p - y).sum()
     return w, float(bias)
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> Model:
-    """Learn from rows whose label is 0 or 1."""
-    labelled = labelled.where(F.col(f"`{label_col}`").isin(0, 1))
-    feature, pos, neg = feature_counts(labelled, text_col, label_col)
-    every = feature < 0
-    n_pos, n_neg = int(pos[every].sum()), int(neg[every].sum())
-    empty = np.zeros(0)
+def train(labelled: DataFrame) -> Model:
+    """Learn from rows (text, label 0 or 1), as ``training_rows`` gives them."""
+    counts = feature_counts(labelled)
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    total = counts.where("f < 0").head()
+    n_pos, n_neg = (total["pos"], total["neg"]) if total else (0, 0)
+    share = (n_pos + SMOOTH) / (n_pos + n_neg + 2 * SMOOTH)
+    plain = Model(np.zeros(0, "i4"), np.zeros(0), float(np.log(share / (1 - share))))
     if not n_pos or not n_neg:
-        share = (n_pos + SMOOTH) / (n_pos + n_neg + 2 * SMOOTH)
-        return Model(empty.astype("i4"), empty, float(np.log(share / (1 - share))))
-    feature, pos, neg = feature[~every], pos[~every], neg[~every]
-    ratio = np.log((pos + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((neg + SMOOTH) / (n_neg + 2 * SMOOTH))
-    error = np.sqrt(1 / (pos + SMOOTH) - 1 / (n_pos + 2 * SMOOTH) + 1 / (neg + SMOOTH) - 1 / (n_neg + 2 * SMOOTH))
-    z = np.abs(ratio) / np.maximum(error, 1e-9)
-    best = np.lexsort((feature, -z))[:MOST_FEATURES]
-    best = np.sort(best[z[best] >= LEAST_Z])
-    order = np.argsort(feature[best])
-    kept, ratios = feature[best][order], ratio[best][order]
-    if not len(kept):
-        share = (n_pos + SMOOTH) / (n_pos + n_neg + 2 * SMOOTH)
-        return Model(kept, ratios, float(np.log(share / (1 - share))))
-    scorer_input = kept.copy()
-    work = labelled.select(F.col(f"`{text_col}`").alias("__text"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    n = n_pos + n_neg
-    if n > FIT_ROWS:  # a bounded sample: an even share by the text's hash, then the smallest hashes
-        h = F.xxhash64(F.lit(1), F.coalesce("__text", F.lit("")))
-        span = int(min(1.0, 1.2 * FIT_ROWS / n) * (1 << 64)) - (1 << 63)
-        work = work.where(h < F.lit(min(span, (1 << 63) - 1))).orderBy(h).limit(FIT_ROWS)
+        return plain
+    ratio = F.log((pos + SMOOTH) / (n_pos + 2 * SMOOTH)) - F.log((neg + SMOOTH) / (n_neg + 2 * SMOOTH))
+    error = F.sqrt(1 / (pos + SMOOTH) - F.lit(1 / (n_pos + 2 * SMOOTH)) + 1 / (neg + SMOOTH) - F.lit(1 / (n_neg + 2 * SMOOTH)))
+    ranked = counts.where(f"f >= 0 AND pos + neg >= {LEAST_ROWS}").select("f", ratio.alias("ratio"), (F.abs(ratio) / F.greatest(error, F.lit(1e-9))).alias("z"))
+    best = ranked.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MOST_FEATURES).select("f", "ratio").toArrow()
+    if not best.num_rows:
+        return plain
+    kept, ratios = best.column("f").to_numpy(), best.column("ratio").to_numpy()
+    order = np.argsort(kept)
+    kept, ratios = kept[order], ratios[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(scorer_input)
-        for batch in sliced(batches, "__text"):
-            found = [np.sort(np.fromiter(s, "i4", len(s))).tolist() for s in (scorer.rows(t.decode("utf-8", "replace")) for t in as_bytes(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["f", "y"])
-
-    rows = [(set(r["f"]), r["y"]) for r in work.mapInArrow(run, "f array<int>, y int").collect()]  # at most FIT_ROWS rows of kept features
-    weights, bias = fit(rows, ratios)
+        scorer = Scorer(kept)
+        for batch in sliced(batches, "text"):
+            found = [np.array(f, "<i4").tobytes() for f in scorer.rows([t.decode("utf-8", "replace") for t in as_bytes(batch.column(0))])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["f", "y"])
+
+    # At most TRAIN_ROWS rows (more only if the table repeats ids) of kept features, packed.
+    rows = labelled.select("text", "label").mapInArrow(run, "f binary, y int").limit(2 * TRAIN_ROWS).toArrow()
+    packed = rows.column("f").to_pylist()
+    row = np.repeat(np.arange(len(packed), dtype="i4"), [len(f) // 4 for f in packed])
+    weights, bias = fit(row, np.frombuffer(b"".join(packed), "<i4"), rows.column("y").to_numpy().astype("f8"), ratios)
     return Model(kept, weights * ratios, bias)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``df`` (its columns ``keep``, all by default) with the probability of label 1 as a double."""
     names = [c for c in (df.columns if keep is None else keep) if c != out_col]
-    work = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
+    work = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(unused(names, "__text")))
     schema = T.StructType([*work.schema.fields[: len(names)], T.StructField(out_col, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights, bias = shared.value
         scorer, weight = Scorer(features), weights.tolist()
-        for batch in sliced(batches, "__text"):
-            sums = [bias + sum(weight[k] for k in sorted(scorer.rows(t.decode("utf-8", "replace")))) for t in as_bytes(batch.column(len(names)))]
+        for batch in sliced(batches, len(names)):
+            sums = [bias + sum(weight[k] for k in found) for found in scorer.rows([t.decode("utf-8", "replace") for t in as_bytes(batch.column(len(names)))])]
             p = 1 / (1 + np.exp(-np.clip(np.array(sums, "f8"), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=schema.names)
 
