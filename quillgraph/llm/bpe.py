@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, sliced
+from .common import as_bytes, sliced, unused
 from .tokens import SPLIT, Vocabulary
 
 #: Words whose encodings one Python worker keeps; the cache starts anew beyond it.
@@ -236,12 +236,12 @@ def bpe_encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", emit
     spark = df.sparkSession
     content = Vocabulary.read(vocabulary_path).content
     shared, key = spark.sparkContext.broadcast(content), hash(content)
-    work = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text_col}`"].alias("__text"))
+    work = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text_col}`"].alias(unused(keep, "__text")))
     schema = T.StructType([*work.schema.fields[: len(keep)], *[T.StructField(name, OUTPUTS[name]) for name in emit]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, key)
-        for batch in sliced(batches, "__text"):
+        for batch in sliced(batches, len(keep)):
             encoded = encoder.encode([t.decode("utf-8", "replace") for t in as_bytes(batch.column(len(keep)))])
             out: dict[str, pa.Array] = {}
             if "ids" in emit:
@@ -265,12 +265,12 @@ def bpe_decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", out_co
     keep = [c for c in df.columns if c != out_col]
     content = Vocabulary.read(vocabulary_path).content
     shared, key = df.sparkSession.sparkContext.broadcast(content), hash(content)
-    work = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{ids_col}`"].cast("array<int>").alias("__ids"))
+    work = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{ids_col}`"].cast("array<int>").alias(unused(keep, "__ids")))
     schema = T.StructType([*work.schema.fields[: len(keep)], T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, key)
-        for batch in sliced(batches, "__ids"):
+        for batch in sliced(batches, len(keep)):
             decoded = [encoder.decode(np.array(x or [], "<u4")) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(decoded, pa.binary()).cast(pa.string())], names=[*keep, out_col])
 

@@ -48,7 +48,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice holds about SLICE_BYTES of ``column`` (one row at least)."""
     for batch in batches:
         n = batch.num_rows
@@ -59,5 +59,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(at, step)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).head()[0]

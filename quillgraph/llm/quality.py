@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: White space of words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -111,28 +113,37 @@ def quality_rules(df: DataFrame, text_col: str = "text", **changes: float) -> Da
     # A line can only fail if its text has what the rule counts, so most texts are passed without a look at their lines.
     suspicious = (occurrences(text, SYMBOLS) >= rules["line_symbols"]) | (occurrences(text, "!") >= 3) | (occurrences(text, SEPARATORS) >= rules["separators"]) | has_phrase(text)
     clean = F.when(suspicious, F.array_join(F.filter(lines, lambda x: ~line_fails(x, rules)), "\n")).otherwise(text)
+    names = [c for c in df.columns if c != "quality"]
+    own = unused(names, "__figures")
     figures = df.select(
-        "*",
-        per_words.alias("__w"),
-        occurrences(text, SYMBOLS).cast("long").alias("__symbols"),
-        n_lines.cast("long").alias("__lines"),
-        clean.alias("__clean"),
-        text.alias("__text"),
+        *[F.col(f"`{c}`") for c in names],
+        F.struct(
+            per_words.alias("w"),
+            occurrences(text, SYMBOLS).cast("long").alias("symbols"),
+            n_lines.cast("long").alias("lines"),
+            clean.alias("clean"),
+            text.alias("text"),
+        ).alias(own),
     )
-    figures = figures.withColumn("__lost", F.when(F.col("__clean") == F.col("__text"), 0).otherwise(F.col("__w.chars") - F.length(without(F.col("__clean"), SPACES))))
-    lost = F.col("__lost")
-    base_failed = (F.col("__w.n_words") < rules["min_words"]) | (F.col("__w.n_repeat_words") > F.col("__w.n_words") * rules["max_repeat"])
-    if rules["max_repeat"] == 0.2:  # in whole numbers
-        base_failed = (F.col("__w.n_words") < rules["min_words"]) | (F.col("__w.n_repeat_words") * 100 > F.col("__w.n_words") * 20)
+    f = F.col(own)
+    words, chars, repeated = f["w"]["n_words"], f["w"]["chars"], f["w"]["n_repeat_words"]
+    lost = F.when(f["clean"] == f["text"], 0).otherwise(chars - F.length(without(f["clean"], SPACES)))
+    if rules["max_repeat"] == DEFAULTS["max_repeat"]:  # in whole numbers
+        base_failed = (words < rules["min_words"]) | (repeated * 100 > words * 20)
+    else:
+        base_failed = (words < rules["min_words"]) | (repeated > words * rules["max_repeat"])
+    judged = F.struct(lost.cast("long").alias("lost"), base_failed.alias("failed"))
+    with_lost = figures.withColumn(unused([*names, own], "__judged"), judged)
+    j = F.col(with_lost.columns[-1])
     out = F.struct(
-        F.col("__w.n_words").alias("n_words"),
-        F.col("__w.chars").alias("word_chars"),
-        F.col("__symbols").alias("n_symbols"),
-        F.col("__lines").alias("n_dup_lines"),
-        F.col("__w.n_repeat_words").alias("n_repeat_words"),
-        F.col("__clean").alias("clean_text"),
-        lost.cast("long").alias("lost_chars"),
-        base_failed.alias("base_failed"),
-        (~base_failed & (lost <= F.col("__w.chars") * rules["max_lost"])).alias("kept"),
+        words.alias("n_words"),
+        chars.alias("word_chars"),
+        f["symbols"].alias("n_symbols"),
+        f["lines"].alias("n_dup_lines"),
+        repeated.alias("n_repeat_words"),
+        f["clean"].alias("clean_text"),
+        j["lost"].alias("lost_chars"),
+        j["failed"].alias("base_failed"),
+        (~j["failed"] & (j["lost"] <= chars * rules["max_lost"])).alias("kept"),
     )
-    return figures.select(*[df[f"`{c}`"] for c in df.columns if c != "quality"], out.alias("quality"))
+    return with_lost.select(*[F.col(f"`{c}`") for c in names], out.alias("quality"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import as_bytes, materialize, sliced
+from .common import as_bytes, materialize, sliced, unused
 
 SEED = 42
 #: Homes and replicas in one block of comparisons.
@@ -241,8 +241,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     named = df.where(F.col(f"`{id_col}`").isNotNull())
     groups = near_duplicates(named, id_col, text_col, size, threshold)
-    firsts = groups.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__first")).distinct()
-    stay = named.join(firsts, F.col(f"`{id_col}`") == F.col("__first")).drop("__first")
+    first, number = unused(df.columns, "__first"), unused(df.columns, "__number")
+    firsts = groups.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias(first)).distinct()
+    stay = named.join(firsts, F.col(f"`{id_col}`") == F.col(first)).drop(first)
     order = Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`"))
-    once = stay.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    once = stay.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
     return once.unionByName(df.where(F.col(f"`{id_col}`").isNull()))

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
 from .quality import bound
 
 DIMENSIONS, SIZES = 4096, (3, 4, 5)
@@ -104,8 +105,8 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], model: tuple[float,
         raise ValueError(f"at most {MOST_RULES} rules")
     bias, weights = model
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    out = df.select(*[F.col(f"`{c}`") for c in keep], bound(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), host_and_path).alias("__u"))
-    host, path = F.col("__u.host"), F.col("__u.path")
+    out = df.select(*[F.col(f"`{c}`") for c in keep], bound(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), host_and_path).alias(own := unused(keep, "__u")))
+    host, path = F.col(own)["host"], F.col(own)["path"]
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     score = F.aggregate(
         F.transform(features(host, path, len(weights)), lambda i: F.element_at(table, i)),
@@ -119,6 +120,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]], model: tuple[float,
         listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0].translate(str.maketrans(UPPER, UPPER.lower()))).alias("h"), F.lit("".join(r.partition("/")[1:])).alias("p")) for r, v in ordered])
         fits = F.filter(listed, lambda r: ((host == r["h"]) | F.endswith(host, F.concat(F.lit("."), r["h"]))) & F.startswith(path, r["p"]))
         best = bound(fits, lambda f: F.when(F.size(f) > 0, F.element_at(f, 1)))
-    judged = out.select(*[F.col(f"`{c}`") for c in keep], "__u", best.alias("__r"), score.alias("score"))
-    verdict = F.coalesce(F.col("__r.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return judged.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), F.col("__r.rule").alias("rule"), verdict.alias("verdict"), "score")
+    found = unused([*keep, own], "__r")
+    judged = out.select(*[F.col(f"`{c}`") for c in keep], own, best.alias(found), score.alias("score"))
+    verdict = F.coalesce(F.col(found)["verdict"], F.when(F.col("score") >= threshold, "block").otherwise("allow"))
+    return judged.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), F.col(found)["rule"].alias("rule"), verdict.alias("verdict"), "score")
