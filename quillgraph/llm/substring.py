@@ -238,11 +238,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), _key(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     seen = materialize(occurrences(base, window), "superkmers")
-    several = seen.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("minimiser")
+    # Written before they are joined, as are other aggregates here: a join of plain shuffles is one that Spark can split where a key is hot.
+    several = materialize(seen.groupBy("minimiser").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("minimiser"), "several")
     shared = materialize(seen.join(several, "minimiser", "left_semi"), "shared")
-    strings = shared.groupBy("minimiser", "string").agg(F.min("doc").alias("first"))
-    hot = strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).select("minimiser", (F.col("n") > HOT_STRINGS).alias("hot"))
-    flagged = strings.join(hot, "minimiser")
+    strings = materialize(shared.groupBy("minimiser", "string").agg(F.min("doc").alias("first")), "distinct")
+    hot = materialize(strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_STRINGS).select("minimiser", F.lit(True).alias("hot")), "hot")
+    flagged = strings.join(hot, "minimiser", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = shared.join(flagged, ["minimiser", "string"]).where("doc = first")
     packed = materialize(strings_of(base, wanted, window), "strings")
     found = materialize(sort_buckets(packed.where("not hot"), window).unionByName(deal_windows(packed.where("hot"), window)), "repeats")
