@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, table_queries, text_queries
+from . import graph_queries, language_queries, table_queries, text_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "graph_queries", "table_queries", "text_queries"]
+__all__ = ["ORACLE", "QUERIES", "graph_queries", "language_queries", "table_queries", "text_queries"]

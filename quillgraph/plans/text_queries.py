@@ -188,11 +188,11 @@ def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").join(docs, "doc_id", "left").select("doc_id", "lang", decision.alias("decision"), F.coalesce("found", F.lit(False)).alias("bound"))
 
 
-@query("""SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::INT AS next_length FROM conversations""")
+@query("""SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, coalesce(lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn), -1)::INT AS next_length FROM conversations""")
 def conversation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who answers whom."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(order).alias("next_role"), F.lead(F.length("text")).over(order).alias("next_length"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(order).alias("next_role"), F.coalesce(F.lead(F.length("text")).over(order), F.lit(-1)).alias("next_length"))
 
 
 @query("SELECT source, count(*)::BIGINT AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
