@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import context, name_like, quoted_iri, squeeze
-from ..operators import network, reconcile, scores
+from ..operators import checks, network, reconcile, scores
 from ..streaming.append import sessions, windowed_counts
 from . import shacl, sparql
 from .graph_queries import _nation_letters
@@ -136,3 +136,32 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("suppliers"), F.median("l_quantity").alias("mid"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.round(scores.ratio(F.count_if(F.col("l_discount") > 0.05), F.count(F.lit(1))), 9).alias("share")
     )
+
+
+@query("""WITH a AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0),
+c AS (SELECT o_custkey, o_orderpriority, count(*) FILTER (s = 'a')::BIGINT AS a, count(*) FILTER (s = 'b')::BIGINT AS b FROM (SELECT *, 'a' AS s FROM a UNION ALL SELECT *, 'b' FROM b) x GROUP BY 1, 2)
+SELECT * FROM c WHERE a <> b""")
+def result_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two results differ as multisets."""
+    orders = read(spark, sf_dir, "orders")
+    part = lambda k: orders.where(f"o_orderkey % {k} = 0").select("o_custkey", "o_orderpriority")
+    return checks.multiset_difference(part(2), part(3))
+
+
+@query("""SELECT doc_id, side FROM (SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang <> 'de') x
+UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM documents WHERE lang <> 'de' EXCEPT SELECT doc_id FROM labels) y)""")
+def exact_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that only one of two tables has."""
+    return checks.set_mismatch(read(spark, sf_dir, "labels").select("doc_id"), read(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id"), "doc_id")
+
+
+@query("""SELECT coalesce(f.letter, m.letter) AS letter, CASE WHEN f.h IS NULL THEN 'missing' WHEN m.h IS NULL THEN 'unexpected' ELSE 'changed' END AS problem
+FROM (SELECT doc_id AS letter, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1) f
+FULL JOIN (SELECT doc_id AS letter, CASE WHEN doc_id % 10 = 2 THEN sha256(text || '.') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 3) m ON f.letter = m.letter WHERE f.h IS DISTINCT FROM m.h""")
+def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts against a manifest of their digests: what is missing, unexpected or changed."""
+    docs = read(spark, sf_dir, "documents")
+    digest = lambda text: F.sha2(text.cast("binary"), 256).alias("sha256")
+    files = docs.where("doc_id % 10 <> 1").select(F.col("doc_id").alias("letter"), digest(F.col("text")))
+    changed = F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return checks.manifest_mismatch(files, docs.where("doc_id % 10 <> 3").select(F.col("doc_id").alias("letter"), digest(changed)))
