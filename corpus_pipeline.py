@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bestfit, quality, simhash, substring, toxicity
+from quillgraph.llm import bestfit, nearcopies, quality, substring, toxicity
 from quillgraph.llm.common import materialize, table
 from quillgraph.llm.queries import TOXIC_FROM, toxicity_model, vocabulary_path
+from quillgraph.ship import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,6 +25,16 @@ def _with_text(df: DataFrame, text: F.Column, columns: list[str]) -> DataFrame:
     return df.select(*[changed.get(c, F.col(f"`{c}`")) for c in columns])
 
 
+def _stage(function: Stage) -> Stage:
+    """The stage, after the package has been sent to the executors."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: lines that fail go, documents that fail go."""
     judged = quality.quality_rules(docs).where("quality.kept")
@@ -37,8 +48,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash groups: the document of the smallest id stays."""
-    return simhash.keep_first(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """SimHash groups of texts whose five-word shingles are similar by 0.8 or more: the document of the smallest id stays."""
+    return nearcopies.keep_first(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +64,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", clean),
-    ("toxicity", drop_toxic),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("substring_dedup", drop_repeats),
-    ("best_fit_packing", pack),
+    ("quality_rules", _stage(clean)),
+    ("toxicity", _stage(drop_toxic)),
+    ("simhash_near_dedup", _stage(drop_near_duplicates)),
+    ("substring_dedup", _stage(drop_repeats)),
+    ("best_fit_packing", _stage(pack)),
 ]
 #: SQL can't express learnt scores or 64-bit hashes; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
