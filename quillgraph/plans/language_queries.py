@@ -98,21 +98,25 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(read(spark, sf_dir, "events"), "2 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("""WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'https://d-nb.info/gnd/' || c_custkey WHEN c_custkey % 3 = 1 THEN 'https://www.wikidata.org/wiki/Q' || c_custkey END AS link, c_mktsegment AS kind FROM customer WHERE c_custkey < 40)
-SELECT kind, count(*)::BIGINT AS total, count(link)::BIGINT AS resolved, (count(*) - count(link))::BIGINT AS unresolved, count(*) FILTER (link LIKE '%gnd%')::BIGINT AS gnd, 0::BIGINT AS geonames, count(*) FILTER (link LIKE '%wikidata%')::BIGINT AS wikidata FROM l GROUP BY kind""")
+@query("""WITH l AS (SELECT c_mktsegment AS kind, CASE WHEN c_acctbal >= 5000 THEN 'https://d-nb.info/gnd/' || c_custkey END AS gnd, CASE WHEN c_acctbal < 1000 THEN 'https://www.wikidata.org/wiki/Q' || c_custkey END AS wd FROM customer)
+SELECT kind, count(*)::BIGINT AS total, count(coalesce(gnd, wd))::BIGINT AS resolved, (count(*) - count(coalesce(gnd, wd)))::BIGINT AS unresolved, count(gnd)::BIGINT AS gnd, 0::BIGINT AS geonames, count(wd)::BIGINT AS wikidata FROM l GROUP BY kind""")
 def authority_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of entities by a cache of authority links."""
-    entities = read(spark, sf_dir, "customer").where("c_custkey < 40").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("kind"))
-    entries = {str(k): {"gnd": f"https://d-nb.info/gnd/{k}" if k % 3 == 0 else None, "wikidata": f"https://www.wikidata.org/wiki/Q{k}" if k % 3 == 1 else None} for k in range(40)}
-    return reconcile.coverage(entities, {"entries": entries})
+    """Coverage of entities by a table of authority links."""
+    customer = read(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    link = lambda start: F.concat(F.lit(start), key)
+    gnd, wikidata = F.when(F.col("c_acctbal") >= 5000, link("https://d-nb.info/gnd/")), F.when(F.col("c_acctbal") < 1000, link("https://www.wikidata.org/wiki/Q"))
+    known = customer.select(key.alias("id"), gnd.alias("gnd"), F.lit(None).cast("string").alias("geonames"), wikidata.alias("wikidata"))
+    return reconcile.coverage(customer.select(key.alias("id"), F.col("c_mktsegment").alias("kind")), known)
 
 
-@query("""WITH letters AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 500 = 0)
+@query("""WITH letters AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
 SELECT n_nationkey AS node, ((SELECT count(*) FROM letters WHERE a = n_nationkey) + (SELECT count(*) FROM letters WHERE b = n_nationkey))::BIGINT AS degree FROM nation""")
 def degree_with_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees of all nodes, those without an edge included."""
     _, sent, got = _nation_letters(spark, sf_dir)
-    pairs = sent.where("letter % 500 = 0").join(got, "letter").select(sent["person"].alias("src"), got["person"].alias("dst")).distinct()
+    urgent = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").select(F.col("o_orderkey").alias("letter"))
+    pairs = sent.join(urgent, "letter").join(got, "letter").select(sent["person"].alias("src"), got["person"].alias("dst")).distinct()
     return network.degrees(pairs, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")))
 
 
@@ -138,14 +142,14 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH a AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'),
 c AS (SELECT o_custkey, o_orderpriority, count(*) FILTER (s = 'a')::BIGINT AS a, count(*) FILTER (s = 'b')::BIGINT AS b FROM (SELECT *, 'a' AS s FROM a UNION ALL SELECT *, 'b' FROM b) x GROUP BY 1, 2)
 SELECT * FROM c WHERE a <> b""")
 def result_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two results differ as multisets."""
     orders = read(spark, sf_dir, "orders")
-    part = lambda k: orders.where(f"o_orderkey % {k} = 0").select("o_custkey", "o_orderpriority")
-    return checks.multiset_difference(part(2), part(3))
+    part = lambda k: orders.where(F.col("o_orderstatus") == k).select("o_custkey", "o_orderpriority")
+    return checks.multiset_difference(part("F"), part("O"))
 
 
 @query("""SELECT doc_id, side FROM (SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang <> 'de') x
@@ -156,12 +160,12 @@ def exact_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(f.letter, m.letter) AS letter, CASE WHEN f.h IS NULL THEN 'missing' WHEN m.h IS NULL THEN 'unexpected' ELSE 'changed' END AS problem
-FROM (SELECT doc_id AS letter, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1) f
-FULL JOIN (SELECT doc_id AS letter, CASE WHEN doc_id % 10 = 2 THEN sha256(text || '.') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 3) m ON f.letter = m.letter WHERE f.h IS DISTINCT FROM m.h""")
+FROM (SELECT doc_id AS letter, sha256(text) AS h FROM documents WHERE lang <> 'fr') f
+FULL JOIN (SELECT doc_id AS letter, CASE WHEN source = 'src2' THEN sha256(text || '.') ELSE sha256(text) END AS h FROM documents WHERE lang <> 'es') m ON f.letter = m.letter WHERE f.h IS DISTINCT FROM m.h""")
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts against a manifest of their digests: what is missing, unexpected or changed."""
     docs = read(spark, sf_dir, "documents")
     digest = lambda text: F.sha2(text.cast("binary"), 256).alias("sha256")
-    files = docs.where("doc_id % 10 <> 1").select(F.col("doc_id").alias("letter"), digest(F.col("text")))
-    changed = F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("."))).otherwise(F.col("text"))
-    return checks.manifest_mismatch(files, docs.where("doc_id % 10 <> 3").select(F.col("doc_id").alias("letter"), digest(changed)))
+    files = docs.where("lang <> 'fr'").select(F.col("doc_id").alias("letter"), digest(F.col("text")))
+    changed = F.when(F.col("source") == "src2", F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return checks.manifest_mismatch(files, docs.where("lang <> 'es'").select(F.col("doc_id").alias("letter"), digest(changed)))

@@ -12,12 +12,12 @@ from .registry import query
 from .star import read
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS value, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') || 'T00:00:00' AS "begin", strftime(last_day(o_orderdate::DATE), '%Y-%m-%d') || 'T23:59:59' AS "end" FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y'), strftime(o_orderdate, '%Y') || '-01-01T00:00:00', strftime(o_orderdate, '%Y') || '-12-31T23:59:59' FROM orders WHERE o_orderkey % 3 = 1
-UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00', strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59' FROM orders WHERE o_orderkey % 3 = 2""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS value, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') || 'T00:00:00' AS "begin", strftime(last_day(o_orderdate::DATE), '%Y-%m-%d') || 'T23:59:59' AS "end" FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y'), strftime(o_orderdate, '%Y') || '-01-01T00:00:00', strftime(o_orderdate, '%Y') || '-12-31T23:59:59' FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00', strftime(o_orderdate, '%Y-%m-%d') || 'T23:59:59' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')""")
 def date_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last instant of values of year, month and day precision."""
-    pattern = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    pattern = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM")).when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     valued = read(spark, sf_dir, "orders").select("o_orderkey", pattern.alias("value"))
     return valued.withColumn("b", dates.bounds_column(F.col("value"))).select("o_orderkey", "value", F.col("b.begin").alias("begin"), F.col("b.end").alias("end"))
 

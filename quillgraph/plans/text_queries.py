@@ -97,10 +97,10 @@ def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     joined = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return joined.where("toxic = 1").select("doc_id", "lang"), joined.where("n_chars % 3 = 0").select("doc_id", "lang")
+    return joined.where("toxic = 1").select("doc_id", "lang"), joined.where("n_chars < 1000").select("doc_id", "lang")
 
 
-_PRF = """WITH j AS (SELECT doc_id, lang, toxic, (n_chars % 3 = 0)::INT AS guess FROM labels JOIN documents USING (doc_id)),
+_PRF = """WITH j AS (SELECT doc_id, lang, toxic, (n_chars < 1000)::INT AS guess FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, sum(toxic)::BIGINT AS gold, sum(guess)::BIGINT AS predicted, sum(toxic * guess)::BIGINT AS common
   FROM j WHERE toxic = 1 OR guess = 1 GROUP BY ROLLUP (lang)),
 r AS (SELECT *, coalesce(common / nullif(predicted, 0), 0)::DOUBLE AS p, coalesce(common / nullif(gold, 0), 0)::DOUBLE AS r FROM c)"""
@@ -114,12 +114,12 @@ def prf_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "gold", "predicted", "common", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("""WITH j AS (SELECT lang, CASE WHEN toxic = 1 AND n_chars % 3 = 0 THEN 'hit' WHEN toxic = 1 THEN 'missed' WHEN n_chars % 3 = 0 THEN 'spurious' ELSE 'none' END AS category FROM labels JOIN documents USING (doc_id))
+@query("""WITH j AS (SELECT lang, CASE WHEN toxic = 1 AND n_chars < 1000 THEN 'hit' WHEN toxic = 1 THEN 'missed' WHEN n_chars < 1000 THEN 'spurious' ELSE 'none' END AS category FROM labels JOIN documents USING (doc_id))
 SELECT coalesce(lang, 'all') AS lang, coalesce(category, 'all') AS category, count(*)::BIGINT AS n FROM j GROUP BY CUBE (lang, category)""")
 def error_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by language, by class, by both and in all."""
     joined = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    guess = F.col("n_chars") % 3 == 0
+    guess = F.col("n_chars") < 1000
     category = F.when((F.col("toxic") == 1) & guess, "hit").when(F.col("toxic") == 1, "missed").when(guess, "spurious").otherwise("none")
     cubed = joined.withColumn("category", category).cube("lang", "category").agg(F.count(F.lit(1)).alias("n"))
     return cubed.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("category", F.lit("all")).alias("category"), "n")
