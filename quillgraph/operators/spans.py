@@ -6,7 +6,7 @@ key with very many spans spreads over tasks; a pair that shares several buckets
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,27 +73,43 @@ def drop_fragments(df: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     return df.join(cut.select(*keys, "kind", "start", "end").distinct(), [*keys, "kind", "start", "end"], "left_anti")
 
 
+def _runs(df: DataFrame, keys: Sequence[str], low: Column, high: Column) -> DataFrame:
+    """``df`` with ``__run``: rows of a key that are connected by overlaps have one number, so a key's work falls into small parts."""
+    order = Window.partitionBy(*keys).orderBy(low, high)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.withColumn("__new", (low >= F.coalesce(F.max(high).over(before), low)).cast("int"))
+    return marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def _chosen(runs: DataFrame, keys: Sequence[str], fields: Sequence[str], choose: Callable[[list[dict]], list[int]]) -> DataFrame:
+    """The rows that ``choose`` takes of each run (places in its list of ``fields``); runs of one row are taken without Python."""
+    columns = [c for c in runs.columns if c != "__run"]
+    listed = runs.groupBy(*keys, "__run").agg(F.collect_list(F.struct(*columns)).alias("__rows"))
+
+    @F.pandas_udf("array<int>")
+    def places(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: choose(list(r)))
+
+    slim = F.transform("__rows", lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+    single = listed.where(F.size("__rows") == 1).select(F.col("__rows")[0].alias("__r"))
+    several = listed.where(F.size("__rows") > 1).withColumn("__kept", places(slim))
+    taken = several.select(F.explode(F.transform("__kept", lambda k: F.get("__rows", k))).alias("__r"))
+    return single.unionByName(taken).select("__r.*")
+
+
 def greedy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spans that overlap no better one: by score (null counts as 1) and length falling, then start and kind.
+    """Spans that overlap no better one: by score (null counts as 1) and length falling, then start and kind."""
 
-    A key's spans fall into runs without overlap between them; each run is chosen from on its own, so a key's work is spread.
-    """
-    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    marked = df.withColumn("__new", (F.col("start") >= F.coalesce(F.max("end").over(before), F.col("start"))).cast("int"))
-    upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    runs = marked.withColumn("__run", F.sum("__new").over(upto)).drop("__new")
-    columns = df.columns
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        ranked = sorted(group.index, key=lambda i: (-(1.0 if pd.isna(group.at[i, "score"]) else group.at[i, "score"]), group.at[i, "start"] - group.at[i, "end"], group.at[i, "start"], group.at[i, "kind"] or ""))
+    def choose(rows: list[dict]) -> list[int]:
+        rank = lambda k: (-(1.0 if rows[k]["score"] is None else rows[k]["score"]), rows[k]["start"] - rows[k]["end"], rows[k]["start"], rows[k]["kind"] or "")
         kept: list[int] = []
-        for i in ranked:
-            a, b = group.at[i, "start"], group.at[i, "end"]
-            if all(b <= group.at[j, "start"] or group.at[j, "end"] <= a for j in kept):
-                kept.append(i)
-        return group.loc[kept, columns]
+        for k in sorted(range(len(rows)), key=rank):
+            a, b = rows[k]["start"], rows[k]["end"]
+            if all(b <= rows[j]["start"] or rows[j]["end"] <= a for j in kept):
+                kept.append(k)
+        return kept
 
-    return runs.groupBy(*keys, "__run").applyInPandas(choose, df.schema)
+    return _chosen(_runs(df, keys, F.col("start"), F.col("end")), keys, ["start", "end", "kind", "score"], choose)
 
 
 def match_one_to_one(gold: DataFrame, predicted: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -103,26 +119,20 @@ def match_one_to_one(gold: DataFrame, predicted: DataFrame, keys: Sequence[str],
     """
     pairs = overlap_join(gold.select(*keys, "start", "end"), predicted.select(*keys, "start", "end"), keys, width)
     pairs = pairs.withColumn("shared", F.least("end", "r_end") - F.greatest("start", "r_start"))
-    low, high = F.least("start", "r_start"), F.greatest("end", "r_end")
-    before = Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, 0)
-    marked = pairs.withColumn("__new", (low >= F.coalesce(F.max(high).over(before), low)).cast("int"))
-    runs = marked.withColumn("__run", F.sum("__new").over(upto)).drop("__new")
-    schema = ", ".join([f"{k} {dict(gold.dtypes)[k]}" for k in keys] + [f"{c} {dict(gold.dtypes)['start']}" for c in ("g_start", "g_end", "p_start", "p_end", "shared")])
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["shared", "start", "end", "r_start", "r_end"], ascending=[False, True, True, True, True], kind="stable")
+
+    def assign(rows: list[dict]) -> list[int]:
         used_gold, used_pred, kept = set(), set(), []
-        for row in group.itertuples(index=True):
-            g, p = (row.start, row.end), (row.r_start, row.r_end)
+        for k in sorted(range(len(rows)), key=lambda k: (-rows[k]["shared"], rows[k]["start"], rows[k]["end"], rows[k]["r_start"], rows[k]["r_end"])):
+            g, p = (rows[k]["start"], rows[k]["end"]), (rows[k]["r_start"], rows[k]["r_end"])
             if g not in used_gold and p not in used_pred:
                 used_gold.add(g)
                 used_pred.add(p)
-                kept.append(row.Index)
-        out = group.loc[kept, [*keys, "start", "end", "r_start", "r_end", "shared"]]
-        return out.set_axis([*keys, "g_start", "g_end", "p_start", "p_end", "shared"], axis=1)
+                kept.append(k)
+        return kept
 
-    return runs.groupBy(*keys, "__run").applyInPandas(assign, schema)
+    runs = _runs(pairs, keys, F.least("start", "r_start"), F.greatest("end", "r_end"))
+    taken = _chosen(runs, keys, ["start", "end", "r_start", "r_end", "shared"], assign)
+    return taken.select(*keys, F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("r_start").alias("p_start"), F.col("r_end").alias("p_end"), "shared")
 
 
 def passages(documents: DataFrame, needles: DataFrame, words: int = 8) -> DataFrame:
