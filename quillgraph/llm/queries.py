@@ -92,6 +92,31 @@ _CONTROLS = ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "</s>", "<|role|>", "<|
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
 
 ORACLE: dict[str, str] = {
+    "op8_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT rid, i, array_to_string(list_slice(words, i, i + 4), ' ') AS content
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, content) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS place FROM twice) GROUP BY rid),
+lines AS (SELECT rid, line, length(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '')) AS chars, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols, length(line) - length(replace(line, '!', '')) AS shouts,
+    length(line) - length(regexp_replace(line, '[|»›•]', '', 'g')) AS bars, regexp_matches(lower(line), 'PHRASES') AS phrase
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+judged AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS dup,
+    coalesce(sum(chars) FILTER ((symbols >= 3 AND symbols > n * 0.3::DOUBLE) OR (bars >= 3 AND n <= bars * 3) OR (shouts >= 3 AND shouts > n * 0.5::DOUBLE) OR (phrase AND n <= 20)), 0) AS lost
+  FROM lines WHERE n > 0 GROUP BY rid
+),
+f AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars
+  FROM d LEFT JOIN judged USING (rid) LEFT JOIN covered c USING (rid)
+)
+SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars <= word_chars * 0.3::DOUBLE) AS kept FROM f""".replace(
+        "PHRASES", "|".join(quality.PHRASES)
+    ),
     "op5_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 windows AS (
