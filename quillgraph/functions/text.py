@@ -51,16 +51,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
-#: Words that alone don't make a name (German and French forms of address and rank).
+#: Words that are no name by themselves, as they stand in addresses and salutations.
 TITLES = frozenset(
-    "herr herrn frau fräulein frl dr prof professor hofrat regierungsrat geheimrat baron baronin graf gräfin fürst fürstin freiherr exzellenz excellenz majestät hoheit monsieur madame mademoiselle mr mrs mme mlle".split()
+    (
+        "an a à herr herrn hrn hr frau fr frl fräulein dr prof doctor monsieur madame mme mlle m mr mrs ms sehr geehrter geehrte hochgeehrter "
+        "wohlgeboren hochwohlgeboren baron graf gräfin hofrat hofrath"
+    ).split()
 )
 ROMAN = r"^[ivxlcdm]+$"
+#: What parts the words of a name.
+NAME_SPLIT = r"[\s.,;:()]+"
 
 
 def name_like(surface: Column) -> Column:
     """Some word of more than one character is neither a title nor a Roman numeral."""
-    words = F.transform(F.split(squeeze(surface), " "), lambda w: F.lower(F.regexp_replace(w, r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    words = F.split(F.lower(surface), "(?U)" + NAME_SPLIT)
     return F.exists(words, lambda w: (F.length(w) > 1) & ~w.isin(*sorted(TITLES)) & ~w.rlike(ROMAN))
 
 
