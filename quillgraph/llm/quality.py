@@ -123,6 +123,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", **changes: float) -> Da
             n_lines.cast("long").alias("lines"),
             clean.alias("clean"),
             text.alias("text"),
+            # Not deterministic, so a filter on the verdict stays above these figures and they aren't worked out a second time for it.
+            F.monotonically_increasing_id().alias("row"),
         ).alias(own),
     )
     f = F.col(own)
@@ -144,6 +146,6 @@ def quality_rules(df: DataFrame, text_col: str = "text", **changes: float) -> Da
         f["clean"].alias("clean_text"),
         j["lost"].alias("lost_chars"),
         j["failed"].alias("base_failed"),
-        (~j["failed"] & (j["lost"] <= chars * rules["max_lost"])).alias("kept"),
+        (~j["failed"] & (j["lost"] <= chars * rules["max_lost"]) & (f["row"] >= 0)).alias("kept"),
     )
     return with_lost.select(*[F.col(f"`{c}`") for c in names], out.alias("quality"))
