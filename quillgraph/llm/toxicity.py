@@ -36,7 +36,7 @@ TRAIN_ROWS, MOST_FEATURES = 12_000, 5_000
 LEAST_ROWS, LEAST_Z = 4, 3.0
 SMOOTH = 0.5
 #: Words that a worker keeps the features of, and the length of those it keeps.
-CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
