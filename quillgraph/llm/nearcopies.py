@@ -2,10 +2,15 @@
 
 One fingerprint of shingles tells texts of this similarity apart more often than not, at a threshold small enough for anchor-point
 covering. So each text gets TABLES fingerprints, made of independently mixed hashes of its distinct words, of which an edit changes
-fewer than of shingles, and each is compared by covering with the usual threshold. The
-clusters of a table propose: a member is compared with its cluster's smallest id, exactly, by its shingles. So there are at most
-TABLES comparisons for each text, however large a cluster is, and no link stands that isn't similar. Groups are components over
-these links.
+fewer than of shingles, and each is compared by covering with the usual threshold. The clusters of a table propose first: a
+member is compared with its cluster's smallest id, exactly, by its shingles. This joins most of a large group with few comparisons.
+
+What it leaves is found completely, by prefix filtering. Put the distinct shingles of all texts in one order; of two texts of this
+similarity with n shingles each, the first 0.2 n + 1 have one in common. The order is that of hashes, but shingles that many texts
+have come last, so that they are rarely among the first. Texts with a shingle among their first in common are a cell. Pairs of a
+cell whose sizes and places allow the similarity are compared exactly, unless links join them already. In a large
+cell some texts lead: they are compared with all others, then links are followed, then more lead, until all have. So a large
+group of copies is joined by its first leaders, and no pair that is similar stays apart. Groups are components over the links.
 
 Texts that differ only in white space and A-Z are one text. Texts of fewer words than a shingle have one, the whole; texts without words
 are copies of each other. Rows with a null id take no part. An empty table gives an empty one.
@@ -29,6 +34,10 @@ from .simhash import COUNTED, HOME_BLOCK, REPLICA_BLOCK, SEED, anchor_blocks, co
 #: Independent fingerprints of a text.
 TABLES = 12
 SIZE, SIMILARITY, THRESHOLD = 5, 0.8, 3
+#: Shingle hashes counted at once for hot ones; how often a hot one is met in such counts; the most hot ones (broadcast).
+COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
+#: Leaders of a cell in the first round, and by how much they grow with each; pairs of one leader that meet in one task.
+LEADERS, GROWTH, LEADER_BLOCK = 64, 8, 4096
 
 
 def fingerprints(text: bytes, tables: int = TABLES) -> np.ndarray:
@@ -56,6 +65,51 @@ def similarity(a: bytes, b: bytes, size: int = SIZE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; none for texts of fewer words, which are similar to their copies only."""
+    words = text.lower().split()
+    if len(words) < SIZE:
+        return np.zeros(0, "i8")
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
+    n = len(each) - SIZE + 1
+    out = np.zeros(n, "<u8")
+    for k in range(SIZE):
+        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out.view("i8"))
+
+
+def first_shingles(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Those of a text's shingles of which a similar text shares one; ``hot`` (sorted) come last. One more, lest hashes be equal."""
+    late = np.isin(hashes, hot, assume_unique=True)
+    n = len(hashes)
+    return np.concatenate([hashes[~late], hashes[late]])[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 2]
+
+
+def often(df: DataFrame) -> np.ndarray:
+    """Hashes of shingles that very many texts have, sorted. They only order shingles: one more or less changes no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
+
+        for batch in sliced(batches, 0):
+            for text in as_bytes(batch.column(0)):
+                held.append(shingle_hashes(text))
+                size += len(held[-1])
+                if size >= COUNT_AT:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    counts = df.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()], "i8"))
+
+
 def prints(df: DataFrame) -> DataFrame:
     """(id, content, fps) of rows (id, text); equal contents are copies."""
 
@@ -115,39 +169,28 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return seen.select(F.col("id").alias(id_col), F.col("id").alias("component_id"))
     members = materialize(clusters(nodes, n), "clusters")
     leaders = members.groupBy("cluster").agg(F.min(F.struct("first", "content")).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = members.join(leaders, "cluster").where("first > leader.first").select("first", "content", F.col("leader.first").alias("to"), F.col("leader.content").alias("to_content")).distinct()
-    pairs = materialize(pairs, "pairs")
-    # Texts of the ids in pairs only, so that few texts meet.
-    wanted = materialize(pairs.select("first", "content").unionByName(pairs.select(F.col("to").alias("first"), F.col("to_content").alias("content"))).distinct(), "wanted")
-    texts = materialize(_texts(base, wanted), "texts")
-    both = pairs.join(texts.select("first", "content", F.col("z").alias("a")), ["first", "content"]).join(texts.select(F.col("first").alias("to"), F.col("content").alias("to_content"), F.col("z").alias("b")), ["to", "to_content"])
-    key = dict(base.dtypes)["id"]
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        opener = zstandard.ZstdDecompressor()
-        last, known = None, set()
-        for batch in batches:
-            good = []
-            for row, (to, a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if to != last:
-                    last, known = to, set(shingles(opener.decompress(b), SIZE))
-                own = set(shingles(opener.decompress(a), SIZE))
-                if len(own & known) >= SIMILARITY * len(own | known):
-                    good.append(row)
-            kept = batch.take(pa.array(good, pa.int32()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
-
-    links = both.select("first", "to", "a", "b").mapInArrow(check, f"a {key}, b {key}")
+    to = [F.col(f"leader.{c}").alias(f"a_{c}") for c in ("first", "content")]
+    pairs = members.join(leaders, "cluster").where("first > leader.first").select(*to, F.col("first").alias("b_first"), F.col("content").alias("b_content")).distinct()
+    texts = _texts(base, nodes, often(base))
     # Rows that repeat an id with other texts belong together, as ids are what is kept.
     repeated = seen.join(nodes.select("content", "first"), "content").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    roots = components(links.unionByName(repeated))
+    links = materialize(repeated.unionByName(similar(materialize(pairs, "pairs"), texts)), "links")
+    roots = components(links)
+    cells, largest = _cells(texts)
+    done, leading = 0, LEADERS
+    while done < largest:
+        pairs = materialize(_led(cells, roots, done, leading), "pairs")
+        done, leading = leading, leading * GROWTH
+        more = materialize(similar(pairs, texts), "links")
+        if more.head(1):
+            # What was linked before is as well told by its roots.
+            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return seen.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
 
 
-def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(first, content, z): the compressed texts of some (first, content), once each."""
+def _texts(base: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(first, content, n, keys, z), one row for each content: the number of its shingles, the first of them, and the compressed text."""
+    shared = base.sparkSession.sparkContext.broadcast(hot)  # at most MOST_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -156,12 +199,88 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in sliced(batches, 1):
             texts = as_bytes(batch.column(1))
             content = [xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())], names=["first", "content", "z"])
+            hashes = [shingle_hashes(t) for t in texts]
+            keys = [first_shingles(h, shared.value) if len(h) else h for h in hashes]
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+            packed = pa.array([packer.compress(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array([len(h) for h in hashes], pa.int32()), lists, packed], names=["first", "content", "n", "keys", "z"])
+
+    fields = [("content", T.LongType()), ("n", T.IntegerType()), ("keys", T.ArrayType(T.LongType())), ("z", T.BinaryType())]
+    packed = base.mapInArrow(run, T.StructType([T.StructField("first", base.schema["id"].dataType), *[T.StructField(*f) for f in fields]]))
+    found = packed.join(nodes.select("first", "content"), ["first", "content"])
+    # A row may repeat as a whole, but for white space and case.
+    return materialize(found.groupBy("first", "content").agg(F.min(F.struct("z", "n", "keys")).alias("t")).select("first", "content", "t.n", "t.keys", "t.z"), "texts")
+
+
+def _cells(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(h, first, content, n, at, size, turn) of texts that share one of their first shingles, and the largest size.
+
+    ``size`` is that of the cell, ``turn`` a text's random place in it from 0 to ``size``, ``at`` the place of the shingle in the text.
+    """
+    each = texts.select("first", "content", "n", F.posexplode("keys").alias("at", "h"))
+    sizes = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cells")
+    turn = F.pmod(F.xxhash64("h", "content", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("size")
+    cells = materialize(each.join(sizes, "h").withColumn("turn", turn), "members")
+    return cells, sizes.agg(F.max("size")).head()[0] or 0
+
+
+def _led(cells: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of a leader, whose turn is from ``low`` to ``high``, and a text of its cell whose turn is later; linked ones are left out."""
+    # Links join most cells whole; a leader meets its cell in blocks.
+    rooted = cells.where(F.col("size") > low).join(roots, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first")).drop("node")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    live = materialize(rooted.join(mixed, "h"), "live")
+    blocks = F.ceil(F.col("size") / LEADER_BLOCK).cast("int")
+    names = ["first", "content", "n", "at", "turn", "root"]
+    leaders = live.where((F.col("turn") >= low) & (F.col("turn") < high)).select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in names])
+    others = live.where(F.col("turn") >= low).select("h", F.pmod(F.xxhash64("content"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"b_{c}") for c in names])
+    later = (F.col("a_turn") < F.col("b_turn")) | ((F.col("a_turn") == F.col("b_turn")) & (F.col("a_content") < F.col("b_content")))
+    # At the first shingle that two texts share, what comes after it must suffice for the similarity.
+    least = (F.col("a_n") + F.col("b_n")) * (SIMILARITY / (1 + SIMILARITY)) - 2
+    enough = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= least
+    met = leaders.join(others, ["h", "block"]).where((F.col("a_root") != F.col("b_root")) & later & enough)
+    if low:
+        return met.select("a_first", "a_content", "b_first", "b_content").distinct()
+    # In small cells either may lead: take a pair once.
+    swap = F.col("a_content") > F.col("b_content")
+    a, b = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("first", "content")]) for x in "ab")
+    small = met.select(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b")).distinct()
+    return small.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("first", "content")])
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): ids of those pairs (a_first, a_content, b_first, b_content) whose texts are similar, compared by their shingles.
+
+    Texts that are in pairs only meet; one with many pairs on its side a is dealt out.
+    """
+    key = dict(texts.dtypes)["first"]
+    hot = pairs.groupBy("a_first", "a_content").agg(F.ceil(F.count(F.lit(1)) / LEADER_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    hot = F.broadcast(materialize(hot, "hot"))  # one row for LEADER_BLOCK pairs at most
+    side = lambda x: texts.select(F.col("first").alias(f"{x}_first"), F.col("content").alias(f"{x}_content"), F.col("z").alias(x))
+    at_a, at_b = ["a_first", "a_content"], ["b_first", "b_content"]
+    ones = F.coalesce("blocks", F.lit(1))
+    dealt = pairs.join(hot, at_a, "left").withColumn("block", F.pmod(F.xxhash64("b_content"), ones).cast("int")).drop("blocks")
+    wanted = side("a").join(hot, at_a, "left").withColumn("block", F.explode(F.sequence(F.lit(0), ones - 1))).drop("blocks")
+    both = dealt.join(side("b"), at_b).join(wanted, [*at_a, "block"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        opener = zstandard.ZstdDecompressor()
+        last, known = None, set()
+        for batch in batches:
+            good = []
+            for row, (to, a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if to != last:
+                    last, known = to, set(shingles(opener.decompress(a), SIZE))
+                own = set(shingles(opener.decompress(b), SIZE))
+                if len(own & known) >= SIMILARITY * len(own | known):
+                    good.append(row)
+            kept = batch.take(pa.array(good, pa.int32()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    packed = base.mapInArrow(run, T.StructType([T.StructField("first", base.schema["id"].dataType), T.StructField("content", T.LongType()), T.StructField("z", T.BinaryType())]))
-    found = packed.join(wanted, ["first", "content"])
-    once = Window.partitionBy("first", "content").orderBy("z")
-    return found.withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
+    return both.select("a_first", "b_first", "a_content", "a", "b").mapInArrow(check, f"a {key}, b {key}")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

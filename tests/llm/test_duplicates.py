@@ -275,6 +275,59 @@ def test_near_copies(spark):
     assert nearcopies.similarity(b"a b c d e f", b"A  b c d e\nf") == 1.0
 
 
+def grouped(spark, docs):
+    """(ids that near_copies puts under a smaller one, those that a comparison of all pairs does)."""
+    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(df).collect()}
+    return {i for i, c in got.items() if i != c}, plain_copies(docs)[0]
+
+
+@pytest.mark.parametrize("leaders", [64, 2])
+def test_near_copies_in_chains(spark, monkeypatch, leaders):
+    """Revisions one word apart, in the order of ids and not, and the words of a text in other orders, with an outlier as smallest id."""
+    monkeypatch.setattr(nearcopies, "LEADERS", leaders, raising=False)
+    monkeypatch.setattr(nearcopies, "LEADER_BLOCK", 8, raising=False)
+    r = random.Random(21)
+    docs = {}
+    for chain in range(3):
+        words, texts = [f"w{r.randrange(5000)}" for _ in range(200)], []
+        for k in range(61):
+            texts.append(" ".join(words))
+            words[r.randrange(200)] = f"x{chain}_{k}"
+        if chain:
+            r.shuffle(texts)
+        docs.update(enumerate(texts, len(docs)))
+    words = [f"v{k}" for k in range(120)]
+    for _ in range(4):
+        r.shuffle(words)
+        docs[len(docs)] = " ".join(words)
+    for k in range(40):
+        docs[len(docs)] = " ".join([*words[:60], f"y{k}", *words[61:]])
+    found, gone = grouped(spark, docs)
+    assert len(gone) > 200
+    assert found == gone
+
+
+def test_near_copies_with_blocks(spark):
+    """Words appended, put before or cut in one block, with a footer that most texts have, so that similarity is 0.8 or a little more."""
+    r = random.Random(22)
+    words = lambda n: [f"w{int(r.paretovariate(0.6)) % 30000}" for _ in range(n)]
+    footer = words(40)
+    docs = {}
+    for k in range(150):
+        text = words(300)
+        if k % 3:
+            text += footer
+        n = len(text)
+        block = r.randrange(n // 25, n // 4)
+        at = r.randrange(n - block)
+        docs[2 * k] = " ".join(text)
+        docs[2 * k + 1] = " ".join([text + words(block), words(block) + text, text[:at] + text[at + block :], text[: n - n // 5]][k % 4])
+    found, gone = grouped(spark, docs)
+    assert len(gone) > 80
+    assert found == gone
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------------------------
 
 
