@@ -152,20 +152,26 @@ def fit_centroids(vectors: DataFrame, n: int, seed: int = 7) -> Centroids:
 
 
 def posting_lists(vectors: DataFrame, centroids: Centroids) -> DataFrame:
-    """(list, id, v): each vector in the list of its nearest centroid and, at a boundary, in others nearly as near."""
+    """(list, id, v, salt): each vector in the list of its nearest centroid and, at a boundary, in others nearly as near.
+
+    The salt deals rows to chunks, those of an id too.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids, d = shared.value.search(matrix(part.column(1)), 32)
                 take = (ids[:, :REPLICAS] >= 0) & (d[:, :REPLICAS] <= CLOSURE * d[:, :1])
                 row, k = np.nonzero(take)
+                salt = ((number + row) * 0x9E3779B1 >> 8 & 0xFFFFFF).astype("i4")
+                number += part.num_rows
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row.to_numpy(), k].astype("i4")), part.column(0).take(row), part.column(1).take(row)], names=["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row.to_numpy(), k].astype("i4")), part.column(0).take(row), part.column(1).take(row), pa.array(salt)], names=["list", "id", "v", "salt"])
 
-    return vectors.mapInArrow(run, "list int, id long, v array<double>")
+    return vectors.mapInArrow(run, "list int, id long, v array<double>, salt int")
 
 
 def probes(queries: DataFrame, centroids: Centroids, ratio: float) -> DataFrame:
@@ -192,29 +198,25 @@ def scan_lists(lists: DataFrame, sizes: DataFrame, read: DataFrame, k: int) -> D
     plan = F.broadcast(sizes.join(asked, "list"))  # at most MOST_LISTS rows
     salt = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    candidates = lists.join(plan, "list").select("list", salt("chunks").alias("chunk"), every("blocks").alias("block"), "id", "v")
+    candidates = lists.join(plan, "list").select("list", F.pmod("salt", "chunks").alias("chunk"), every("blocks").alias("block"), "id", "v")
     queries = read.join(plan, "list").select("list", every("chunks").alias("chunk"), salt("blocks").alias("block"), "id", "v")
 
     def best(own: pa.Table, asking: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if own.num_rows and asking.num_rows:
             ids, points = own.column("id").to_numpy(), matrix(own.column("v").combine_chunks())
+            by = np.argsort(ids, kind="stable")
+            distinct, starts = np.unique(ids[by], return_index=True)
             for query, q in zip(asking.column("id").to_pylist(), matrix(asking.column("v").combine_chunks()), strict=True):
-                score = np.sqrt(((points - q) ** 2).sum(axis=1))
-                others = np.flatnonzero(ids != query)
+                # An id may repeat: its least score counts, before any cut.
+                score = np.minimum.reduceat(np.sqrt(((points - q) ** 2).sum(axis=1))[by], starts)
+                others = np.flatnonzero(distinct != query)
                 if len(others) > 4 * k:
                     s = score[others]
                     others = others[s <= np.partition(s, k - 1)[k - 1]]
-                # An id may repeat, so the first k rows may hold fewer ids.
-                order, taken, kept = others[np.lexsort((ids[others], score[others]))], set(), []
-                for j in order:
-                    if ids[j] not in taken:
-                        taken.add(ids[j])
-                        kept.append(j)
-                        if len(kept) == k:
-                            break
+                kept = others[np.lexsort((distinct[others], score[others]))][:k]
                 out[0] += [query] * len(kept)
-                out[1] += ids[kept].tolist()
+                out[1] += distinct[kept].tolist()
                 out[2] += score[kept].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 

@@ -238,6 +238,30 @@ def test_hot_vector_is_cut_into_chunks(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("chunk", [4096, 128])
+def test_ids_that_repeat(spark, monkeypatch, chunk):
+    """Two rows an id, and one id with a third of all rows, near the queries: each query still gets the nearest distinct ids."""
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    r = np.random.default_rng(6)
+    vectors = r.normal(size=(160, 8))
+    rows = [(k, v) for k, v in enumerate(vectors)] + [(k, v + r.normal(size=8) / 100) for k, v in enumerate(vectors)]
+    rows += [(7, vectors[100 * (k % 2)] + r.normal(size=8) / 1000) for k in range(160)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    asked = {q: min(v.tolist() for i, v in rows if i == q) for q in (0, 100)}
+    for q, vector in asked.items():
+        least = {}
+        for i, v in rows:
+            if i != q:
+                least[i] = min(least.get(i, np.inf), np.sqrt(((v - vector) ** 2).sum()))
+        want = sorted(least, key=lambda i: (least[i], i))[:10]
+        assert want[0] == 7
+        found = [i for _, i in sorted(got[q])]
+        assert found == want
+
+
 def plain_copies(docs):
     """(ids that aren't their group's smallest, the others): groups of texts with similar sets of five-word shingles, all pairs compared."""
     rows = sorted(docs.items())
