@@ -3,7 +3,9 @@
 Centroids come from hierarchical balanced clustering of a bounded sample (at most SAMPLE distinct vectors). They are held in
 memory with a graph of near and some far links, which a beam search walks for many vectors at once. Every vector goes to
 the posting list of its nearest centroid and, at a boundary, also to those of other centroids nearly as near (ratio CLOSURE, at
-most REPLICAS lists). A query reads the lists whose centroids are within a ratio of its nearest centroid's distance.
+most REPLICAS lists). A query reads the lists whose centroids are within a ratio of its nearest centroid's distance, up to a number.
+No number is right for every table: it is taken from CALIBRATE of the queries, which are compared with all vectors, as the least
+that finds TARGET of their neighbours (FLOOR_PROBES at least). Where the ratio keeps them from that, it is not used.
 
 Lists are balanced by the clustering; one that many vectors share all the same (copies of a vector) is cut into chunks, and
 where very many queries read a list they are cut into blocks. Each (list, chunk, block) gives its best for each query, so what
@@ -30,9 +32,10 @@ from .common import materialize
 
 SAMPLE, MOST_LISTS = 131_072, 8192
 REPLICAS, CLOSURE = 4, 1.1
-LEAST_PROBES, MOST_PROBES, RATIO = 16, 64, 1.4
+LEAST_PROBES, FLOOR_PROBES, RATIO = 16, 64, 1.4
+CALIBRATE, TARGET = 256, 0.97
 CHUNK, QUERY_BLOCK = 4096, 2048
-NEAR_LINKS, FAR_LINKS, ENTRIES, BEAM = 16, 8, 32, 96
+NEAR_LINKS, FAR_LINKS, ENTRIES = 16, 8, 32
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,7 +86,7 @@ class Centroids:
         far = rng.integers(0, n, (n, FAR_LINKS), dtype="i4")
         return cls(points, np.concatenate([links, far], axis=1), rng.choice(n, min(ENTRIES, n), replace=False))
 
-    def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances) of the nearest that a beam search finds for each vector, nearest first; -1 and infinity fill up."""
         m, width = len(vectors), min(beam, len(self.points))
         rows = np.arange(m)[:, None]
@@ -174,18 +177,85 @@ def posting_lists(vectors: DataFrame, centroids: Centroids) -> DataFrame:
     return vectors.mapInArrow(run, "list int, id long, v array<double>, salt int")
 
 
-def probes(queries: DataFrame, centroids: Centroids, ratio: float) -> DataFrame:
-    """(list, id, v): the lists that each query reads."""
+def ranked_lists(vectors: np.ndarray, centroids: Centroids) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, distances) of all centroids for each vector, nearest first."""
+    d = squared(vectors, centroids.points)
+    order = np.argsort(d, axis=1, kind="stable")
+    return order, np.sqrt(np.take_along_axis(d, order, 1))
+
+
+def within(d: np.ndarray, ratio: float) -> np.ndarray:
+    """Which of the lists at these distances (nearest first) the ratio lets a query read."""
+    return (np.arange(d.shape[1])[None, :] < LEAST_PROBES) | (d <= ratio * d[:, :1])
+
+
+def calibrated(asking: DataFrame, lists: DataFrame, centroids: Centroids, ratio: float, k: int) -> tuple[int, float]:
+    """(most lists for a query to read, ratio) that find TARGET of the neighbours of some queries (smallest hashes)."""
+    n = len(centroids.points)
+    if n <= FLOOR_PROBES and ratio == float("inf") or n <= LEAST_PROBES:
+        return n, ratio
+    some = asking.orderBy(F.xxhash64("id"), "id").limit(CALIBRATE).toArrow()
+    if not some.num_rows:
+        return n, ratio
+    names, points = some.column("id").to_numpy(), matrix(some.column("v").combine_chunks())
+    shared = lists.sparkSession.sparkContext.broadcast((names, points))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, points = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                of, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
+                by = np.argsort(ids, kind="stable")
+                distinct, starts = np.unique(ids[by], return_index=True)
+                every = np.sqrt(squared(points, matrix(part.column(2))))
+                out: list[list] = [[], [], [], []]
+                for name, score in zip(names, every, strict=True):
+                    least = np.minimum.reduceat(score[by], starts)
+                    others = np.flatnonzero(distinct != name)
+                    # What surely isn't among the nearest of this part stays behind.
+                    if len(others) > k:
+                        s = least[others]
+                        others = others[s <= np.partition(s, k - 1)[k - 1]]
+                        others = others[np.lexsort((distinct[others], least[others]))][:k]
+                    rows = np.flatnonzero(np.isin(ids, distinct[others]))
+                    best = rows[np.lexsort((score[rows], of[rows], ids[rows]))]
+                    first = np.ones(len(best), bool)
+                    first[1:] = (ids[best][1:] != ids[best][:-1]) | (of[best][1:] != of[best][:-1])
+                    best = best[first]
+                    for column, values in zip(out, (np.full(len(best), name), of[best], ids[best], score[best]), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "list", "vec_id", "score"])
+
+    near = lists.select("list", "id", "v").mapInArrow(run, "query_id long, list int, vec_id long, score double")
+    near = materialize(near.groupBy("query_id", "list", "vec_id").agg(F.min("score").alias("score")), "near")
+    true = ranked(near.select("query_id", "vec_id", "score"), k).select("query_id", "vec_id", F.col("score").alias("least"))
+    # At most CALIBRATE * k ids; lists that hold an id by a farther row of it do not count.
+    places = near.join(true, ["query_id", "vec_id"]).where(F.col("score") <= F.col("least") * (1 + 1e-6) + 1e-9).groupBy("query_id", "vec_id").agg(F.collect_set("list").alias("lists")).collect()
+    order, d = ranked_lists(points, centroids)
+    place = np.argsort(order, axis=1)
+    at = {q: k for k, q in enumerate(names.tolist())}
+    need = np.array([place[at[r["query_id"]], r["lists"]].min() for r in places])
+    read = within(d, ratio)
+    allowed = np.array([read[at[r["query_id"]], m] for r, m in zip(places, need, strict=True)], bool)
+    if not len(need):
+        return n, ratio
+    if allowed.mean() < TARGET:
+        ratio, allowed = float("inf"), np.ones(len(need), bool)
+    wanted = np.sort(np.where(allowed, need, n))[int(np.ceil(TARGET * len(need))) - 1] + 1
+    return int(min(n, max(FLOOR_PROBES, wanted))), ratio
+
+
+def probes(queries: DataFrame, centroids: Centroids, most: int, ratio: float) -> DataFrame:
+    """(list, id, v): the lists that each query reads, ``most`` at most."""
     shared = queries.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, d = shared.value.search(matrix(part.column(1)))
-                place = np.arange(ids.shape[1])[None, :]
-                take = (ids >= 0) & (place < MOST_PROBES) & ((place < LEAST_PROBES) | (d <= ratio * d[:, :1]))
-                row, k = np.nonzero(take)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, d = ranked_lists(matrix(part.column(1)), shared.value)
+                row, k = np.nonzero(within(d, ratio)[:, :most])
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, k].astype("i4")), part.column(0).take(rows), part.column(1).take(rows)], names=["list", "id", "v"])
 
@@ -244,7 +314,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     centroids = fit_centroids(vectors, n)
     lists = materialize(posting_lists(vectors, centroids), "lists")
     sizes = materialize(lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "sizes")
-    first = materialize(ranked(scan_lists(lists, sizes, probes(asking, centroids, ratio), k), k), "found")
+    most, ratio = calibrated(asking, lists, centroids, ratio, k)
+    first = materialize(ranked(scan_lists(lists, sizes, probes(asking, centroids, most, ratio), k), k), "found")
     short = asking.join(first.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), F.col("id") == F.col("query_id"), "left").where(F.coalesce("got", F.lit(0)) < min(k, n - 1)).select("id", "v")
     short = materialize(short, "short")
     rest = short.count()

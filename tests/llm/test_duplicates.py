@@ -262,6 +262,21 @@ def test_ids_that_repeat(spark, monkeypatch, chunk):
         assert found == want
 
 
+def test_recall_where_few_lists_do_not_do(spark, monkeypatch):
+    """Vectors without structure, each in one list: the neighbours are in far more lists than the floor."""
+    monkeypatch.setattr(ann, "CLOSURE", 1.0)
+    r = np.random.default_rng(8)
+    vectors = r.normal(size=(10_000, 128))
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    hits = sum(len({i for i, _ in plain_nearest(np.arange(10_000), vectors, q)} & found) for q, found in got.items())
+    assert len(got) == 100
+    assert hits >= 0.95 * 10 * len(got)
+
+
 def plain_copies(docs):
     """(ids that aren't their group's smallest, the others): groups of texts with similar sets of five-word shingles, all pairs compared."""
     rows = sorted(docs.items())
