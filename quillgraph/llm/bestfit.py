@@ -48,29 +48,32 @@ class ComplementIndex:
         """How many times these lengths can be taken together."""
         return min(self.counts[x] // items.count(x) for x in items)
 
-    def single(self, total: int) -> tuple[int, ...] | None:
-        return (total,) if self.counts.get(total) else None
+    # ``taken``: lengths that the combination goes with. One that only clashes with these is passed over, not dropped.
+    def single(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        return (total,) if self.counts.get(total) and self.left((*taken, total)) else None
 
-    def pair(self, total: int) -> tuple[int, ...] | None:
+    def pair(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, ...] | None:
         if total not in self.pairs:
             top = [a for a in self.lengths[: bisect_left(self.lengths, total)] if 2 * a >= total]
             self.pairs[total] = [(a, total - a) for a in top if self.counts[a] and self.counts.get(total - a)]
         found = self.pairs[total]
-        while found:
-            if self.left(found[-1]):
-                return found[-1]
-            found.pop()
+        for k in range(len(found) - 1, -1, -1):
+            if self.left((*taken, *found[k])):
+                return found[k]
+            if not self.left(found[k]):
+                del found[k]
         return None
 
-    def triple(self, total: int) -> tuple[int, ...] | None:
+    def triple(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, ...] | None:
         if total not in self.triples:
             self.triples[total] = [a for a in self.lengths[: bisect_left(self.lengths, total)] if self.counts[a] and 3 * a >= total]
         found = self.triples[total]
-        while found:
-            a = found[-1]
-            if self.counts[a] and (rest := self.pair(total - a)) and self.left((a, *rest)):
+        for k in range(len(found) - 1, -1, -1):
+            a = found[k]
+            if self.counts[a] and (rest := self.pair(total - a, (*taken, a))):
                 return (a, *rest)
-            found.pop()
+            if not (self.counts[a] and self.pair(total - a, (a,))):
+                del found[k]
         return None
 
 
@@ -101,7 +104,7 @@ def _plan(lengths: dict[int, int], capacity: int, most: int) -> Plan:
             use(counts[size], (size,))
         while counts[size]:
             gap = capacity - size
-            rest = next((r for find in (index.single, index.pair, index.triple)[:most] if (r := find(gap)) and index.left((size, *r))), None)
+            rest = next((r for find in (index.single, index.pair, index.triple)[:most] if (r := find(gap, (size,)))), None)
             if rest is None:
                 break
             use(index.left((size, *rest)), (size, *rest))

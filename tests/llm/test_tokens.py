@@ -175,3 +175,9 @@ def test_queries_on_a_table(spark, library):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(want), hashlib.sha256(want.tobytes()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
     assert queries.op3_token_rows(spark, sf).selectExpr("sum(n_tokens)").head()[0] == sum(len(ids(library, t)) + 1 for t in docs.values())
+
+
+def test_exact_fill_beside_one_that_clashes():
+    index = bestfit.ComplementIndex({6: 1, 1: 1, 4: 1, 3: 1})
+    assert index.triple(13) == (6, 4, 3)
+    assert bestfit.ComplementIndex({6: 1, 1: 1, 4: 1, 3: 1}).pair(7, (6,)) == (4, 3)
