@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import as_bytes, materialize, row_count, sliced
+from .common import as_bytes, materialize, sliced
 from .tokenbin import cut
 from .tokens import RankEncoder, Vocabulary
 
@@ -232,4 +232,4 @@ def best_fit_packing(df: DataFrame, vocabulary_path: str, capacity: int = 2048,
     return placed.withColumnRenamed("doc", id_col)
 
 
-__all__ = ["best_fit_packing", "place_pieces", "plan_sequences", "ranges", "row_count", "token_pieces"]
+__all__ = ["best_fit_packing", "place_pieces", "plan_sequences", "ranges", "token_pieces"]

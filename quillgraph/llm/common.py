@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step holds at a time; a batch from Arrow is cut into slices of about this size.
 SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``, or the one set on the context; an error where neither is, as a local one would not do on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     inner = spark.sparkContext._jsc.sc().getCheckpointDir()
     if inner.isDefined():
         return str(inner.get()).rstrip("/")
-    made = tempfile.mkdtemp(prefix="quill-checkpoint-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+
+
+def _written(df: DataFrame, at: str) -> DataFrame:
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -33,10 +35,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts lineage like ``checkpoint()`` but keeps only compressed columns, so later steps read the columns they need,
     and a lost executor costs no recomputation of what came before.
     """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return _written(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Keep]:
+    """A ``materialize`` for steps in between: its tables are deleted at the end. What is read later must be written with the plain one."""
+    at = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    number = 0
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        nonlocal number
+        number += 1
+        return _written(df, f"{at}/{number}-{label}")
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +86,3 @@ def unused(columns: list[str], name: str) -> str:
         name += "_"
     return name
 
-
-def row_count(df: DataFrame) -> int:
-    return df.agg(F.count(F.lit(1))).head()[0]

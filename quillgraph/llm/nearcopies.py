@@ -1,19 +1,22 @@
 """Groups of near copies by SimHash: texts whose sets of five-word shingles are similar by 0.8 or more.
 
-One fingerprint of shingles tells texts of this similarity apart more often than not, at a threshold small enough for anchor-point
-covering. So each text gets TABLES fingerprints, made of independently mixed hashes of its distinct words, of which an edit changes
-fewer than of shingles, and each is compared by covering with the usual threshold. The clusters of a table propose first: a
-member is compared with its cluster's smallest id, exactly, by its shingles. This joins most of a large group with few comparisons.
+Texts that differ only in white space and A-Z are one text, known by a 64-bit hash of it (``content``). Each distinct text gets TABLES
+fingerprints, made of independently mixed hashes of its distinct words, of which an edit changes fewer than of shingles. Anchor-point
+covering links them at the usual threshold. The values of each table are moved by a constant of the table, which leaves distances
+within a table as they are and makes values of different tables as distant as random ones, so one covering does for all tables. The
+clusters propose first: a member is compared with its cluster's smallest text, exactly, by its shingles. This joins most of a large group
+with few comparisons.
 
 What it leaves is found completely, by prefix filtering. Put the distinct shingles of all texts in one order; of two texts of this
 similarity with n shingles each, the first 0.2 n + 1 have one in common. The order is that of hashes, but shingles that many texts
-have come last, so that they are rarely among the first. Texts with a shingle among their first in common are a cell. Pairs of a
+have come last, so that they are rarely among the first. Texts with a shingle among their first in common are a cell. One aggregation
+of (shingle, group so far) leaves the cells that hold texts of different groups; only their rows go further. Pairs of such a
 cell whose sizes and places allow the similarity are compared exactly, unless links join them already. In a large
 cell some texts lead: they are compared with all others, then links are followed, then more lead, until all have. So a large
 group of copies is joined by its first leaders, and no pair that is similar stays apart. Groups are components over the links.
 
-Texts that differ only in white space and A-Z are one text. Texts of fewer words than a shingle have one, the whole; texts without words
-are copies of each other. Rows with a null id take no part. An empty table gives an empty one.
+Texts stay where they are, but for those that are in pairs. Texts of fewer words than a shingle have one, the whole; texts without words
+are copies of each other. A null text has no words. Rows with a null id take no part. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,16 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import as_bytes, materialize, sliced, unused
-from .simhash import COUNTED, HOME_BLOCK, REPLICA_BLOCK, SEED, anchor_blocks, components, cover, forest, shingles
+from .common import Keep, as_bytes, materialize, scratch, sliced, unused
+from .simhash import COUNTED, SEED, components, links, shingles
 
 #: Independent fingerprints of a text.
-TABLES = 12
+TABLES = 4
 SIZE, SIMILARITY, THRESHOLD = 5, 0.8, 3
 #: Shingle hashes counted at once for hot ones; how often a hot one is met in such counts; the most hot ones (broadcast).
 COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
@@ -40,41 +42,46 @@ COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
 LEADERS, GROWTH, LEADER_BLOCK = 64, 8, 4096
 
 
-def fingerprints(text: bytes, tables: int = TABLES) -> np.ndarray:
-    """SimHash values of a text's distinct words, one for each table."""
-    parts = set(text.lower().split())
-    out = np.zeros(tables, "<u8")
-    if not parts:
-        return out
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), "<u8", len(parts))
-    for t in range(tables):
-        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * t & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+# -- one text -------------------------------------------------------------------------------------------------------------
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def content_of(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
+
+
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash values of the distinct words with these hashes, one for each table."""
+    distinct = np.unique(hashes)
+    out = np.zeros(TABLES, "<u8")
+    for t in range(TABLES):
+        shift = np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (1 << 64) - 1)
+        mixed = (distinct ^ shift) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0x94D049BB133111EB)
         mixed ^= mixed >> np.uint64(32)
         counts = np.zeros(64, "i8")
         for at in range(0, len(mixed), COUNTED):
             counts += np.unpackbits(mixed[at : at + COUNTED].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
-        out[t] = np.packbits(2 * counts > len(mixed), bitorder="little").view("<u8")[0]
+        out[t] = np.packbits(2 * counts > len(mixed), bitorder="little").view("<u8")[0] ^ shift
     return out
 
 
-def similarity(a: bytes, b: bytes, size: int = SIZE) -> float:
-    """Jaccard similarity of the sets of word shingles; 1 for texts without words."""
-    x, y = set(shingles(a, size)), set(shingles(b, size))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-def shingle_hashes(text: bytes) -> np.ndarray:
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted; none for texts of fewer words, which are similar to their copies only."""
-    words = text.lower().split()
-    if len(words) < SIZE:
+    if len(hashes) < SIZE:
         return np.zeros(0, "i8")
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
-    n = len(each) - SIZE + 1
+    n = len(hashes) - SIZE + 1
     out = np.zeros(n, "<u8")
     for k in range(SIZE):
-        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return np.unique(out.view("i8"))
 
@@ -86,153 +93,122 @@ def first_shingles(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~late], hashes[late]])[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 2]
 
 
-def often(df: DataFrame) -> np.ndarray:
-    """Hashes of shingles that very many texts have, sorted. They only order shingles: one more or less changes no result."""
+def similarity(a: bytes, b: bytes, size: int = SIZE) -> float:
+    """Jaccard similarity of the sets of word shingles; 1 for texts without words."""
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _longs(lists: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "i8"), *lists])))
+
+
+# -- passes over all texts --------------------------------------------------------------------------------------------------
+
+
+def _digests(base: DataFrame) -> DataFrame:
+    """For rows (id, row, text): (id, row, content, fps), and rows without content: counts of shingles that recur nearby (hs, ns)."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([base.schema["id"], base.schema["row"], *[T.StructField(c, t) for c, t in (("content", T.LongType()), ("fps", longs), ("hs", longs), ("ns", longs))]])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[np.ndarray] = []
+        size, id_type = 0, None
 
-        def flush() -> pa.RecordBatch:
+        def counts() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
-
-        for batch in sliced(batches, 0):
-            for text in as_bytes(batch.column(0)):
-                held.append(shingle_hashes(text))
+            more = n > 1
+            none = pa.nulls(1, pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), none, _longs([h[more]]), _longs([n[more].astype("i8")])], names=schema.names)
+
+        for batch in sliced(batches, 2):
+            id_type = batch.schema.field(0).type
+            content, fps = [], []
+            for text in as_bytes(batch.column(2)):
+                words = words_of(text)
+                hashes = word_hashes(words)
+                content.append(content_of(words))
+                fps.append(fingerprints(hashes).view("i8"))
+                held.append(shingle_hashes(hashes))
                 size += len(held[-1])
-                if size >= COUNT_AT:
-                    yield flush()
-                    held, size = [], 0
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.int64()), _longs(fps), none, none], names=schema.names)
+            if size >= COUNT_AT:
+                yield counts()
+                held, size = [], 0
         if held:
-            yield flush()
+            yield counts()
 
-    counts = df.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return base.mapInArrow(run, schema)
+
+
+def often(digests: DataFrame) -> np.ndarray:
+    """Hashes of shingles that very many texts have, sorted. They only order shingles: one more or less changes no result."""
+    each = digests.where("content IS NULL").select(F.explode(F.arrays_zip("hs", "ns")).alias("x")).select(F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
+    counts = each.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()], "i8"))
 
 
-def prints(df: DataFrame) -> DataFrame:
-    """(id, content, fps) of rows (id, text); equal contents are copies."""
+def _first_keys(base: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(content, n, keys) of each row: the number of its shingles and the first of them; copies give the same row again."""
+    shared = base.sparkSession.sparkContext.broadcast(hot)  # at most MOST_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            texts = as_bytes(batch.column(1))
-            content = [xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts]
-            fps = np.array([fingerprints(t) for t in texts], "<u8").reshape(-1, TABLES)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, TABLES), pa.int32()), pa.array(fps.reshape(-1).view("i8")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), lists], names=["id", "content", "fps"])
+        for batch in sliced(batches, 0):
+            content, sizes, keys = [], [], []
+            for text in as_bytes(batch.column(0)):
+                words = words_of(text)
+                if len(words) >= SIZE:
+                    h = shingle_hashes(word_hashes(words))
+                    content.append(content_of(words))
+                    sizes.append(len(h))
+                    keys.append(first_shingles(h, shared.value))
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(sizes, pa.int32()), _longs(keys)], names=["content", "n", "keys"])
 
-    return df.mapInArrow(run, T.StructType([df.schema["id"], T.StructField("content", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType()))]))
+    return base.select("text").mapInArrow(run, "content long, n int, keys array<long>")
 
 
-def clusters(nodes: DataFrame, n: int) -> DataFrame:
-    """(first, content, cluster): each node (first, content, fps) in its cluster of each table; texts alone in theirs are left out."""
-    blocks = anchor_blocks(n)
-    shared = nodes.sparkSession.sparkContext.broadcast(blocks)  # at most 65536 words a block
-    each = nodes.select("first", "content", F.posexplode("fps").alias("t", "fp"))
+# -- pairs --------------------------------------------------------------------------------------------------------------------
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                t, fp = batch.column(0).slice(at, 8192), batch.column(1).slice(at, 8192).to_numpy().view("u8")
-                rows, anchors, homes = cover(fp, shared.value, THRESHOLD)
-                yield pa.RecordBatch.from_arrays([t.take(pa.array(rows)), pa.array(anchors.view("i8")), pa.array(fp[rows].view("i8")), pa.array(homes)], names=["t", "anchor", "fp", "home"])
-
-    covered = materialize(each.select("t", "fp").distinct().mapInArrow(spread, "t int, anchor long, fp long, home boolean"), "anchors")
-    count = covered.groupBy("t", "anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("r")).where("h > 0 AND r > 1")
-    sizes = materialize(count.select("t", "anchor", F.ceil(F.col("h") / HOME_BLOCK).cast("int").alias("nh"), F.ceil(F.col("r") / REPLICA_BLOCK).cast("int").alias("nr")), "sizes")
-    sized = covered.join(sizes, ["t", "anchor"])
-    salt = lambda k: F.pmod(F.xxhash64("fp"), F.col(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    as_home = sized.where("home").select("t", "anchor", salt("nh").alias("hb"), every("nr").alias("rb"), "fp", F.lit(True).alias("home"))
-    as_replica = sized.select("t", "anchor", every("nh").alias("hb"), salt("nr").alias("rb"), "fp", F.lit(False).alias("home"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        t = str(group.column("t")[0].as_py())
-        values, home = group.column("fp").to_numpy().view("u8"), group.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        member, root = forest(values[home], values[~home], THRESHOLD)
-        name = lambda x: pa.array([f"{t}:{v}" for v in x.view("i8").tolist()], pa.string())
-        return pa.table({"a": name(member), "b": name(root)})
-
-    links = as_home.unionByName(as_replica).groupBy("t", "anchor", "hb", "rb").applyInArrow(compare, "a string, b string")
-    roots = components(links)
-    named = each.withColumn("node", F.concat(F.col("t").cast("string"), F.lit(":"), F.col("fp").cast("string")))
-    return named.join(roots, "node", "left").select("first", "content", F.coalesce("root", "node").alias("cluster"))
 
+def _proposed(nodes: DataFrame, keep: Keep) -> DataFrame:
+    """Pairs (a, b) of each SimHash cluster's smallest text and another of its members."""
+    values = keep(nodes.select("content", F.explode("fps").alias("fp")), "values")
+    distinct = keep(values.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, distinct.count(), THRESHOLD, keep), keep)
+    members = values.join(roots, F.col("fp") == F.col("node"), "left").select("content", F.coalesce("root", "fp").alias("cluster"))
+    leaders = keep(members.groupBy("cluster").agg(F.min("content").alias("a"), F.max("content").alias("most")).where("a < most").select("cluster", "a"), "leaders")
+    return members.join(leaders, "cluster").where("content <> a").select("a", F.col("content").alias("b")).distinct()
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of the distinct ids of rows that have one: the smallest id of the group."""
-    base = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    seen = materialize(prints(base), "prints")
-    nodes = materialize(seen.groupBy("content").agg(F.min("id").alias("first"), F.min("fps").alias("fps")), "nodes")
-    n = nodes.count()
-    if not n:
-        return seen.select(F.col("id").alias(id_col), F.col("id").alias("component_id"))
-    members = materialize(clusters(nodes, n), "clusters")
-    leaders = members.groupBy("cluster").agg(F.min(F.struct("first", "content")).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    to = [F.col(f"leader.{c}").alias(f"a_{c}") for c in ("first", "content")]
-    pairs = members.join(leaders, "cluster").where("first > leader.first").select(*to, F.col("first").alias("b_first"), F.col("content").alias("b_content")).distinct()
-    texts = _texts(base, nodes, often(base))
-    # Rows that repeat an id with other texts belong together, as ids are what is kept.
-    repeated = seen.join(nodes.select("content", "first"), "content").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    links = materialize(repeated.unionByName(similar(materialize(pairs, "pairs"), texts)), "links")
-    roots = components(links)
-    cells, largest = _cells(texts)
-    done, leading = 0, LEADERS
-    while done < largest:
-        pairs = materialize(_led(cells, roots, done, leading), "pairs")
-        done, leading = leading, leading * GROWTH
-        more = materialize(similar(pairs, texts), "links")
-        if more.head(1):
-            # What was linked before is as well told by its roots.
-            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return seen.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the group ``root`` of their content so far."""
+    return rows.join(roots, F.col("content") == F.col("node"), "left").withColumn("root", F.coalesce("root", "content")).drop("node")
 
-def _texts(base: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(first, content, n, keys, z), one row for each content: the number of its shingles, the first of them, and the compressed text."""
-    shared = base.sparkSession.sparkContext.broadcast(hot)  # at most MOST_HOT
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in sliced(batches, 1):
-            texts = as_bytes(batch.column(1))
-            content = [xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts]
-            hashes = [shingle_hashes(t) for t in texts]
-            keys = [first_shingles(h, shared.value) if len(h) else h for h in hashes]
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-            packed = pa.array([packer.compress(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.int64()), pa.array([len(h) for h in hashes], pa.int32()), lists, packed], names=["first", "content", "n", "keys", "z"])
-
-    fields = [("content", T.LongType()), ("n", T.IntegerType()), ("keys", T.ArrayType(T.LongType())), ("z", T.BinaryType())]
-    packed = base.mapInArrow(run, T.StructType([T.StructField("first", base.schema["id"].dataType), *[T.StructField(*f) for f in fields]]))
-    found = packed.join(nodes.select("first", "content"), ["first", "content"])
-    # A row may repeat as a whole, but for white space and case.
-    return materialize(found.groupBy("first", "content").agg(F.min(F.struct("z", "n", "keys")).alias("t")).select("first", "content", "t.n", "t.keys", "t.z"), "texts")
-
-
-def _cells(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(h, first, content, n, at, size, turn) of texts that share one of their first shingles, and the largest size.
+def _cells(keys: DataFrame, roots: DataFrame, keep: Keep) -> DataFrame:
+    """(h, content, n, at, size, turn) of texts that share one of their first shingles, in cells that hold more than one group.
 
     ``size`` is that of the cell, ``turn`` a text's random place in it from 0 to ``size``, ``at`` the place of the shingle in the text.
     """
-    each = texts.select("first", "content", "n", F.posexplode("keys").alias("at", "h"))
-    sizes = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cells")
+    grouped = _rooted(keys, roots).select(F.explode("keys").alias("h"), "root")
+    mixed = keep(grouped.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), "mixed")
+    live = keep(keys.select("content", "n", F.posexplode("keys").alias("at", "h")).join(mixed, "h").distinct(), "live")
+    sizes = keep(live.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "sizes")
     turn = F.pmod(F.xxhash64("h", "content", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("size")
-    cells = materialize(each.join(sizes, "h").withColumn("turn", turn), "members")
-    return cells, sizes.agg(F.max("size")).head()[0] or 0
+    return keep(live.join(sizes, "h").withColumn("turn", turn), "members")
 
 
-def _led(cells: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of a leader, whose turn is from ``low`` to ``high``, and a text of its cell whose turn is later; linked ones are left out."""
+def _led(cells: DataFrame, roots: DataFrame, low: int, high: int, keep: Keep) -> DataFrame:
+    """Pairs (a, b) of a leader, whose turn is from ``low`` to ``high``, and a text of its cell whose turn is later; linked ones are left out."""
     # Links join most cells whole; a leader meets its cell in blocks.
-    rooted = cells.where(F.col("size") > low).join(roots, F.col("first") == F.col("node"), "left").withColumn("root", F.coalesce("root", "first")).drop("node")
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    live = materialize(rooted.join(mixed, "h"), "live")
+    rooted = _rooted(cells.where(F.col("size") > low), roots)
+    mixed = keep(rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), "mixed")
+    live = keep(rooted.join(mixed, "h"), "rooted")
     blocks = F.ceil(F.col("size") / LEADER_BLOCK).cast("int")
-    names = ["first", "content", "n", "at", "turn", "root"]
+    names = ["content", "n", "at", "turn", "root"]
     leaders = live.where((F.col("turn") >= low) & (F.col("turn") < high)).select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"a_{c}") for c in names])
     others = live.where(F.col("turn") >= low).select("h", F.pmod(F.xxhash64("content"), blocks).cast("int").alias("block"), *[F.col(c).alias(f"b_{c}") for c in names])
     later = (F.col("a_turn") < F.col("b_turn")) | ((F.col("a_turn") == F.col("b_turn")) & (F.col("a_content") < F.col("b_content")))
@@ -241,28 +217,37 @@ def _led(cells: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
     enough = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= least
     met = leaders.join(others, ["h", "block"]).where((F.col("a_root") != F.col("b_root")) & later & enough)
     if low:
-        return met.select("a_first", "a_content", "b_first", "b_content").distinct()
+        return met.select(F.col("a_content").alias("a"), F.col("b_content").alias("b")).distinct()
     # In small cells either may lead: take a pair once.
-    swap = F.col("a_content") > F.col("b_content")
-    a, b = (F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("first", "content")]) for x in "ab")
-    small = met.select(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b")).distinct()
-    return small.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("first", "content")])
+    return met.select(F.least("a_content", "b_content").alias("a"), F.greatest("a_content", "b_content").alias("b")).distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): ids of those pairs (a_first, a_content, b_first, b_content) whose texts are similar, compared by their shingles.
+def _texts(base: DataFrame, pairs: DataFrame, nodes: DataFrame, keep: Keep) -> DataFrame:
+    """(content, z): the compressed text of each content that is in a pair. Other texts are not moved where the ids wanted are few enough to broadcast."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    places = keep(nodes.join(wanted, "content").select(F.col("first.id").alias("id"), F.col("first.row").alias("row")), "wanted")
 
-    Texts that are in pairs only meet; one with many pairs on its side a is dealt out.
-    """
-    key = dict(texts.dtypes)["first"]
-    hot = pairs.groupBy("a_first", "a_content").agg(F.ceil(F.count(F.lit(1)) / LEADER_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    hot = F.broadcast(materialize(hot, "hot"))  # one row for LEADER_BLOCK pairs at most
-    side = lambda x: texts.select(F.col("first").alias(f"{x}_first"), F.col("content").alias(f"{x}_content"), F.col("z").alias(x))
-    at_a, at_b = ["a_first", "a_content"], ["b_first", "b_content"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches, 0):
+            texts = as_bytes(batch.column(0))
+            content = [content_of(words_of(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())], names=["content", "z"])
+
+    packed = base.join(places, ["id", "row"], "left_semi").select("text").mapInArrow(run, "content long, z binary")
+    # A row may repeat as a whole.
+    return keep(packed.groupBy("content").agg(F.min("z").alias("z")), "texts")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, keep: Keep) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (content, z) are similar, compared by their shingles; a text with many pairs on its side a is dealt out."""
+    hot = keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "hot")
     ones = F.coalesce("blocks", F.lit(1))
-    dealt = pairs.join(hot, at_a, "left").withColumn("block", F.pmod(F.xxhash64("b_content"), ones).cast("int")).drop("blocks")
-    wanted = side("a").join(hot, at_a, "left").withColumn("block", F.explode(F.sequence(F.lit(0), ones - 1))).drop("blocks")
-    both = dealt.join(side("b"), at_b).join(wanted, [*at_a, "block"])
+    dealt = pairs.join(hot, "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), ones).cast("int")).drop("blocks")
+    wanted = texts.select(F.col("content").alias("a"), F.col("z").alias("za")).join(hot, "a", "left").withColumn("block", F.explode(F.sequence(F.lit(0), ones - 1))).drop("blocks")
+    both = dealt.join(texts.select(F.col("content").alias("b"), F.col("z").alias("zb")), "b").join(wanted, ["a", "block"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -271,7 +256,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         last, known = None, set()
         for batch in batches:
             good = []
-            for row, (to, a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for row, (to, a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 if to != last:
                     last, known = to, set(shingles(opener.decompress(a), SIZE))
                 own = set(shingles(opener.decompress(b), SIZE))
@@ -280,19 +265,72 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             kept = batch.take(pa.array(good, pa.int32()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return both.select("a_first", "b_first", "a_content", "a", "b").mapInArrow(check, f"a {key}, b {key}")
+    return both.select("a", "b", "za", "zb").mapInArrow(check, "a long, b long")
+
+
+# -- groups -------------------------------------------------------------------------------------------------------------------
+
+
+def _row(text: Column) -> Column:
+    """Tells rows apart that share an id."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
+def _groups(base: DataFrame, keep: Keep) -> DataFrame:
+    """(id, row, copies, first) of each distinct (id, row) of rows (id, row, text): how often it comes, and its group's smallest (id, row)."""
+    digests = keep(_digests(base), "digests")
+    seen = digests.where("content IS NOT NULL").groupBy("id", "row", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("fps").alias("fps"))
+    seen = keep(seen, "seen")
+    nodes = keep(seen.groupBy("content").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fps").alias("fps")), "nodes")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = keep(pairs, "pairs")
+        return keep(similar(pairs, _texts(base, pairs, nodes, keep), keep), "links")
+
+    roots = components(linked(_proposed(nodes, keep)), keep)
+    cells = _cells(keep(_first_keys(base, often(digests)), "keys"), roots, keep)
+    largest = cells.agg(F.max("size")).head()[0] or 0
+    done, leading = 0, LEADERS
+    while done < largest:
+        more = linked(_led(cells, roots, done, leading, keep))
+        done, leading = leading, leading * GROWTH
+        if more.head(1):
+            # What was linked before is as well told by its roots.
+            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), keep)
+    named = _rooted(nodes.select("content", "first"), roots)
+    firsts = keep(named.groupBy("root").agg(F.min("first").alias("least")), "firsts")
+    of = keep(named.join(firsts, "root").select("content", "least"), "of")
+    return seen.join(of, "content").select("id", "row", "copies", F.col("least").alias("first"))
+
+
+def _base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), _row(text).alias("row"), text.alias("text"))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of the rows that have an id, one for each distinct text of an id: the smallest id of the text's group."""
+    with scratch(df.sparkSession) as keep:
+        groups = materialize(_groups(_base(df, id_col, text_col), keep), "groups")
+    return groups.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group: one document of each group stays.
+    """One row of ``df`` for each group, that of the smallest id; columns as they are.
 
-    Rows that share an id count as one document, of which the first by text stays. Rows with a null id are not compared and stay.
+    Rows that share an id are documents of their own: they stay together only if none is a near copy of another row. Of rows that are
+    equal in id and text one stays. Rows with a null id are not compared and stay. Only what goes (and what repeats) is joined to the texts.
     """
-    named = df.where(F.col(f"`{id_col}`").isNotNull())
-    first, number = unused(df.columns, "__first"), unused(df.columns, "__number")
-    groups = near_copies(named.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
-    firsts = materialize(groups.where("id = component_id").select(F.col("id").alias(first)), "firsts")
-    stay = named.join(firsts, F.col(f"`{id_col}`") == F.col(first)).drop(first)
-    order = Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`"))
-    once = stay.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
-    return once.unionByName(df.where(F.col(f"`{id_col}`").isNull()))
+    with scratch(df.sparkSession) as keep:
+        groups = keep(_groups(_base(df, id_col, text_col), keep), "groups")
+        stays = (F.col("id") == F.col("first.id")) & (F.col("row") == F.col("first.row"))
+        own, row = unused(df.columns, "__id"), unused(df.columns, "__row")
+        names = [F.col("id").alias(own), F.col("row").alias(row)]
+        gone = materialize(groups.where(~stays).select(*names), "gone")
+        again = materialize(groups.where(stays & (F.col("copies") > 1)).select(*names), "again")
+    keyed = df.withColumn(own, F.col(f"`{id_col}`")).withColumn(row, _row(F.col(f"`{text_col}`")))
+    stay = keyed.join(gone, [own, row], "left_anti")  # a null id meets none
+    if again.head(1):
+        once = stay.join(again, [own, row], "left_semi").dropDuplicates([own, row])
+        stay = stay.join(again, [own, row], "left_anti").unionByName(once)
+    return stay.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, sliced
+from .common import Keep, as_bytes, materialize, sliced
 
 SEED = 42
 #: Homes and replicas in one block of comparisons.
@@ -169,7 +169,7 @@ def forest(homes: np.ndarray, replicas: np.ndarray, threshold: int) -> tuple[np.
     return nodes[member], nodes[root[member]]
 
 
-def links(distinct: DataFrame, n: int, threshold: int = 3) -> DataFrame:
+def links(distinct: DataFrame, n: int, threshold: int = 3, keep: Keep = materialize) -> DataFrame:
     """(a, b) with a > b: links between distinct fingerprints (column fp) whose components are those of all pairs within the threshold."""
     blocks = anchor_blocks(n)
     shared = distinct.sparkSession.sparkContext.broadcast(blocks)  # at most 65536 words a block
@@ -182,7 +182,7 @@ def links(distinct: DataFrame, n: int, threshold: int = 3) -> DataFrame:
                 rows, anchors, homes = cover(part, shared.value, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.view("i8")), pa.array(part[rows].view("i8")), pa.array(homes)], names=schema.names)
 
-    covered = materialize(distinct.select("fp").mapInArrow(spread, schema), "anchors")
+    covered = keep(distinct.select("fp").mapInArrow(spread, schema), "anchors")
     count = covered.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("r")).where("h > 0")
     sizes = count.select("anchor", F.ceil(F.col("h") / HOME_BLOCK).cast("int").alias("nh"), F.ceil(F.col("r") / REPLICA_BLOCK).cast("int").alias("nr"))
     sized = covered.join(sizes, "anchor")
@@ -201,9 +201,9 @@ def links(distinct: DataFrame, n: int, threshold: int = 3) -> DataFrame:
     return as_home.unionByName(as_replica).groupBy("anchor", "hb", "rb").applyInArrow(compare, edge).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Keep = materialize) -> DataFrame:
     """(node, root) for every node of the edges (a, b) that is not its component's smallest; by alternating star steps."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -212,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         smaller = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(smaller, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "stars")
+        edges = keep(small, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
