@@ -1,12 +1,13 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
-The distinct words of a slice of texts that have no encoding yet go into a trie of bytes. A depth-first walk carries, for each
-prefix on the current path, the last token of that prefix's encoding. The last token of a longer prefix is the longest
+The distinct words of a slice of texts that have no encoding yet go into a trie of bytes whose edges are stretches of words, so it
+takes no more memory than the words. A depth-first walk carries, for each prefix on the current path, the last token of that prefix's encoding. The last token of a longer prefix is the longest
 vocabulary token that ends there and that may stand after the last token of what it leaves: two tokens may be neighbours
 if merging their joint bytes gives just these two again. As an encoding is valid exactly if all neighbours are, each prefix
 has one such state, and prefixes that words share are worked out once. Reading a word's tokens off follows the states back.
 
-No shuffle: each task encodes its own rows, memory is bounded by a slice of texts and a word cache of fixed size.
+No shuffle: each task encodes its own rows. Memory grows with a slice of texts (a single longer text at least), however long its
+words are, and with a word cache of fixed size.
 
 Nulls encode as the empty text (no ids); repeated rows are encoded each; an empty table gives an empty one. Columns of the
 input other than the text are passed on; output columns replace input columns of the same name.
@@ -42,6 +43,68 @@ _UNSURE = regex.compile(r"[՘֋֌࢏౜೜₏₝-₟꟎-꟱꭬꭭\U00010000-\U00
 _NEVER = 1 << 62  # the rank of a merge that doesn't come
 
 
+class Trie:
+    """A trie of distinct words, in which a path without branches or ends is one edge: the stretch of a word between two depths.
+
+    Words are put in in order of their bytes, so a word leaves the path of the one before it where both begin to differ, and only
+    nodes on that path can still get children.
+    """
+
+    def __init__(self, words: list[str]):
+        texts = sorted((w.encode("utf-8", "replace"), w) for w in words if w)
+        #: For each node: its text (a word that goes through it), its depth, the word that ends there, its children.
+        self.text, self.depth, self.word, self.below = [b""], [0], [None], [[]]
+        path = [0]
+        before = b""
+        for text, word in texts:
+            shared = _shared(before, text)
+            child = None
+            while self.depth[path[-1]] > shared:
+                child = path.pop()
+            if self.depth[path[-1]] < shared:  # both part within an edge: a node for what they share
+                fork = self._add(before, shared, None)
+                self.below[path[-1]][-1] = fork
+                self.below[fork].append(child)
+                path.append(fork)
+            leaf = self._add(text, len(text), word)
+            self.below[path[-1]].append(leaf)
+            path.append(leaf)
+            before = text
+
+    def _add(self, text: bytes, depth: int, word: str | None) -> int:
+        self.text.append(text)
+        self.depth.append(depth)
+        self.word.append(word)
+        self.below.append([])
+        return len(self.text) - 1
+
+    def edges(self) -> Iterator[tuple[str | None, bytes, int]]:
+        """Depth first: (word that ends below the edge or None, the prefix down to its lower end, depth of its upper end)."""
+        todo = [(child, 0) for child in self.below[0]]
+        while todo:
+            node, begin = todo.pop()
+            depth = self.depth[node]
+            yield self.word[node], self.text[node][:depth], begin
+            todo += [(child, depth) for child in self.below[node]]
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, min(n, 16)
+    while a[:high] == b[:high]:
+        low, high = high, min(n, 2 * high)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self._pieces = vocabulary.pieces()
@@ -99,59 +162,41 @@ class TrieEncoder:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word, little-endian, 32 bits each."""
-        below: dict[bytes, list[bytes]] = {b"": []}  # the trie: each prefix with those that are one byte longer
-        ends: dict[bytes, str] = {}
-        for word in words:
-            text = word.encode("utf-8", "replace")
-            ends[text] = word
-            size = len(text)
-            while (at := text[:size]) not in below:
-                size -= 1
-            while size < len(text):
-                size += 1
-                longer = text[:size]
-                below[at].append(longer)
-                below[longer] = []
-                at = longer
         out = {"": b""}
-        ends.pop(b"", None)
         starts, fits, pieces = self._starts, self._fits, self._pieces
-        last = [-1]
-        reach = [0]  # for each prefix, the length of its longest end that a token starts with
-        todo = below[b""]
-        while todo:
-            prefix = todo.pop()
-            depth = len(prefix)
-            size = reach[depth - 1] + 1
-            while (token := starts.get(prefix[depth - size :])) is None:
-                size -= 1
-            del last[depth:], reach[depth:]
-            reach.append(size)
-            while True:
-                if token is not None and token >= 0:
-                    before = last[depth - size]
-                    if before < 0:
-                        break
-                    both = (before << 32) | token
-                    fit = fits.get(both)
-                    if fit is None:
-                        if len(fits) > 4_000_000:
-                            fits.clear()
-                        fit = fits[both] = self.may_neighbour(before, token)
-                    if fit:
-                        break
-                size -= 1
-                token = starts.get(prefix[depth - size :])
-            last.append(token)
-            if prefix in ends:
-                ids, at = [], depth
+        last = [-1]  # for each prefix on the path, the last token of its encoding
+        reach = [0]  # and the length of its longest end that a token starts with
+        for word, text, begin in Trie(words).edges():
+            del last[begin + 1 :], reach[begin + 1 :]
+            for depth in range(begin + 1, len(text) + 1):
+                size = reach[depth - 1] + 1
+                while (token := starts.get(text[depth - size : depth])) is None:
+                    size -= 1
+                reach.append(size)
+                while True:
+                    if token is not None and token >= 0:
+                        before = last[depth - size]
+                        if before < 0:
+                            break
+                        both = (before << 32) | token
+                        fit = fits.get(both)
+                        if fit is None:
+                            if len(fits) > 4_000_000:
+                                fits.clear()
+                            fit = fits[both] = self.may_neighbour(before, token)
+                        if fit:
+                            break
+                    size -= 1
+                    token = starts.get(text[depth - size : depth])
+                last.append(token)
+            if word is not None:
+                ids, at = [], len(text)
                 while at:
                     token = last[at]
                     ids.append(token)
                     at -= len(pieces[token])
                 ids.reverse()
-                out[ends[prefix]] = _pack(ids)
-            todo += below[prefix]
+                out[word] = _pack(ids)
         return out
 
     # -- texts -----------------------------------------------------------------------------------------------------------

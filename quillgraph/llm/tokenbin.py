@@ -9,7 +9,7 @@ No shuffle and no global state: a run is bounded by RUN_TOKENS, so memory is, an
 document is in the output whole: pieces name their document, number and start.
 
 Nulls and empty texts are a separator alone; repeated rows are packed each; an empty table gives an empty one. Rows of one
-document may come several times if the table repeats it; they stay apart by their pieces' own rows.
+document may come several times if the table repeats it; they stay apart by their pieces' own rows. Ids may be of any type and null.
 """
 
 from __future__ import annotations
@@ -124,9 +124,8 @@ def pack_token_rows(df: DataFrame, vocabulary_path: str, capacity: int = 2048, s
     shared = df.sparkSession.sparkContext.broadcast(vocabulary.content)
     work = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("__text"))
     out_schema = schema(work.schema["doc"].dataType)
-    id_type = pa.from_numpy_dtype(np.dtype("i8")) if isinstance(work.schema["doc"].dataType, T.LongType) else None
 
-    def rows_of(run: list[tuple], partition: int, first: int) -> pa.RecordBatch:
+    def rows_of(run: list[tuple], partition: int, first: int, id_type: pa.DataType) -> pa.RecordBatch:
         flat = [(doc, k, start, ids[start : start + size]) for doc, ids in run for k, (start, size) in enumerate(cut(len(ids), capacity))]
         rows = best_fit_decreasing([len(x[3]) for x in flat], capacity)
         matrix, places = np.full((len(rows), capacity), pad, dtype), np.zeros((len(rows), capacity), dtype)
@@ -150,7 +149,7 @@ def pack_token_rows(df: DataFrame, vocabulary_path: str, capacity: int = 2048, s
             [
                 pa.array([partition] * len(rows), pa.int32()),
                 pa.array(range(first, first + len(rows)), pa.int64()),
-                pa.array(columns[0], pa.list_(id_type) if id_type else None),
+                pa.array(columns[0], pa.list_(id_type)),
                 pa.array(columns[1], ints),
                 pa.array(columns[2], ints),
                 pa.array(columns[3], ints),
@@ -167,19 +166,20 @@ def pack_token_rows(df: DataFrame, vocabulary_path: str, capacity: int = 2048, s
         partition, first = TaskContext.get().partitionId(), 0
         encoder = RankEncoder(Vocabulary(shared.value))
         held: list[tuple] = []
-        held_tokens = 0
+        held_tokens, id_type = 0, None
         for batch in sliced(batches, "__text"):
+            id_type = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 ids = encoder.encode(text.decode("utf-8", "replace"))
                 held.append((doc, np.append(ids, end).astype(dtype)))
                 held_tokens += len(ids) + 1
                 if held_tokens >= RUN_TOKENS:
-                    made = rows_of(held, partition, first)
+                    made = rows_of(held, partition, first, id_type)
                     first += made.num_rows
                     held, held_tokens = [], 0
                     yield from (made.slice(at, 512) for at in range(0, made.num_rows, 512))
         if held:
-            made = rows_of(held, partition, first)
+            made = rows_of(held, partition, first, id_type)
             yield from (made.slice(at, 512) for at in range(0, made.num_rows, 512))
 
     return work.mapInArrow(run, out_schema)

@@ -8,12 +8,17 @@ the tokenizers library over every code point.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
 #: Fixed value: the pre-tokenizer's pattern of this family of vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters without a change between white space and other that the compiled splitter is not given.
+LONG_RUN = 20_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
@@ -54,7 +59,11 @@ class Vocabulary:
 
 
 class RankEncoder:
-    """Whole texts to ids with the compiled BPE; special tokens' strings become their ids, as the tokenizers library does."""
+    """Whole texts to ids with the compiled BPE; special tokens' strings become their ids, as the tokenizers library does.
+
+    The compiled splitter goes back over a run of one kind of character and fails on very long ones, so texts with a run of LONG_RUN
+    characters between two changes of white space and other go through the tokenizers library.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         import tiktoken
@@ -64,10 +73,19 @@ class RankEncoder:
             raise ValueError("token ids must be merge ranks after the 256 bytes")
         self._inner = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=vocabulary.specials)
         self._names = set(vocabulary.specials)
+        self._content = vocabulary.content
+        self._library = None
 
     def encode(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and _RUN.search(text):
+            return self._encode_long(text)
         return self._inner.encode_to_numpy(text, allowed_special=self._names, disallowed_special=())
 
+    def _encode_long(self, text: str) -> np.ndarray:
+        if self._library is None:
+            from tokenizers import Tokenizer
 
-def lost_surrogates(text: bytes) -> str:
-    return text.decode("utf-8", "replace")
+            self._library = Tokenizer.from_str(self._content.decode())
+            self._library.no_truncation()
+            self._library.no_padding()
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")

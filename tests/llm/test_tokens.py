@@ -1,7 +1,10 @@
 """BPE, token rows and packing against the tokenizers library and plain versions."""
 
 import hashlib
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -181,3 +184,54 @@ def test_exact_fill_beside_one_that_clashes():
     index = bestfit.ComplementIndex({6: 1, 1: 1, 4: 1, 3: 1})
     assert index.triple(13) == (6, 4, 3)
     assert bestfit.ComplementIndex({6: 1, 1: 1, 4: 1, 3: 1}).pair(7, (6,)) == (4, 3)
+
+
+LONG = r"""
+import sys, random, numpy as np, resource
+resource.setrlimit(resource.RLIMIT_AS, (3 << 30, 3 << 30))
+sys.path.insert(0, sys.argv[1])
+from tokenizers import Tokenizer
+from quillgraph.llm import bpe
+from quillgraph.llm.tokens import RankEncoder, Vocabulary
+v = Vocabulary.read(sys.argv[2])
+library, trie, fast = Tokenizer.from_file(sys.argv[2]), bpe.TrieEncoder(v), RankEncoder(v)
+r = random.Random(3)
+mixed = "".join(r.choice("abcdefghij") for _ in range(1_000_000))
+texts = ["a" * 1_000_000, mixed, mixed[:700_000] + "x", "-" * 300_000, " " * 2_000_000, " " * 2_000_000 + "y", "\n" * 2_000_000, "z" * 2_000_000, "é" * 200_000, "\u3000" * 200_000]
+for texts in (texts[:5], texts[5:]):
+    for text, raw in zip(texts, trie.encode(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == want, text[:9]
+        assert fast.encode(text).tolist() == want, text[:9]
+"""
+
+
+def test_very_long_words_in_little_memory():
+    """Words of 1 MB and runs of 2 million spaces, line breaks and letters: memory grows with the text, not with its square."""
+    done = subprocess.run([sys.executable, "-c", LONG, str(Path(__file__).parents[2]), str(PATH)], capture_output=True, text=True, env={"OPENBLAS_NUM_THREADS": "1", "RAYON_NUM_THREADS": "1", "PYTHONPATH": ":".join(sys.path)}, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_long_runs_in_the_operators(spark, library):
+    rows = [(1, " " * 1_200_000 + "end"), (2, "a" * 300_000), (3, "plain words here")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = {i: np.array([*ids(library, t), 50256], "<u4") for i, t in rows}
+    got = {}
+    for r in tokenbin.pack_token_rows(df, str(PATH)).collect():
+        row, ends = np.frombuffer(r["input_ids"], "<u2"), r["cu_seqlens"]
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], ends[:-1], ends[1:], strict=True):
+            got.setdefault(doc, []).append((start, row[a:b]))
+    assert {i: np.concatenate([x for _, x in sorted(p, key=lambda x: x[0])]).tolist() for i, p in got.items()} == {i: w.tolist() for i, w in want.items()}
+    packed = bestfit.best_fit_packing(df, str(PATH)).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in packed} == {i: len(w) for i, w in want.items()}
+    strings = spark.createDataFrame([("x", "a b"), (None, None)], "doc_id string, text string")
+    assert sorted(d or "" for r in tokenbin.pack_token_rows(strings, str(PATH)).collect() for d in r["doc_ids"]) == ["", "x"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abé", max_size=8), max_size=12, unique=True))
+def test_the_trie_holds_each_word_once(words):
+    found = [(w, t.decode()) for w, t, _ in bpe.Trie(words).edges() if w is not None]
+    assert sorted(found) == sorted((w, w) for w in words if w)
+    for _, t, begin in bpe.Trie(words).edges():
+        assert begin < len(t)
