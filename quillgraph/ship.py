@@ -11,9 +11,20 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes that Spark hands to a Python worker at once. Ten thousand rows, its own measure, may be any size where texts are long.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of the session by their bytes, unless the session says something itself."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def ship(spark: SparkSession) -> None:
     """Add the package as a Python file of the application, once; Spark's own file server hands it out."""
+    bound_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
