@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -68,8 +69,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the machine: idle workers of earlier steps should not hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that Linux has
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice holds about SLICE_BYTES of ``column`` (one row at least)."""
+    give_back()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -77,6 +87,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Ite
         step = max(1, int(n * SLICE_BYTES / max(1, batch.column(column).nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    give_back()
 
 
 def unused(columns: list[str], name: str) -> str:

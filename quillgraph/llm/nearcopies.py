@@ -40,6 +40,8 @@ SIZE, SIMILARITY, THRESHOLD = 5, 0.8, 3
 COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
 #: Leaders of a cell in the first round, and by how much they grow with each; pairs of one leader that meet in one task.
 LEADERS, GROWTH, LEADER_BLOCK = 64, 8, 4096
+#: Shingles of cells of several groups that are broadcast (8 bytes each); more are joined.
+MOST_WANTED = 2_000_000
 
 
 # -- one text -------------------------------------------------------------------------------------------------------------
@@ -195,12 +197,35 @@ def _cells(keys: DataFrame, roots: DataFrame, keep: Keep) -> DataFrame:
     """
     grouped = _rooted(keys, roots).select(F.explode("keys").alias("h"), "root")
     mixed = keep(grouped.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), "mixed")
-    live = keep(keys.select("content", "n", F.posexplode("keys").alias("at", "h")).join(mixed, "h").distinct(), "live")
+    live = keep(_among(keys, mixed).distinct(), "live")
     sizes = keep(live.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "sizes")
     turn = F.pmod(F.xxhash64("h", "content", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("size")
     return keep(live.join(sizes, "h").withColumn("turn", turn), "members")
 
 
+def _among(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(content, n, at, h) of the ``keys`` that are among ``wanted`` (h). Up to MOST_WANTED are broadcast, so that other keys aren't shuffled."""
+    if wanted.count() > MOST_WANTED:
+        return keys.select("content", "n", F.posexplode("keys").alias("at", "h")).join(wanted, "h").select("content", "n", "at", "h")
+    found = np.sort(wanted.toArrow().column("h").to_numpy().astype("i8"))
+    shared = keys.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = shared.value
+        for batch in sliced(batches, 2):
+            lists = batch.column(2)
+            h = lists.flatten().to_numpy()
+            at = np.searchsorted(among, h)
+            place = np.flatnonzero(among[np.minimum(at, len(among) - 1)] == h) if len(among) else np.zeros(0, "i8")
+            sizes = lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            rows = np.searchsorted(starts, place, side="right") - 1
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array((place - starts[rows]).astype("i4")), pa.array(h[place])], names=["content", "n", "at", "h"])
+
+    return keys.select("content", "n", "keys").mapInArrow(run, "content long, n int, at int, h long")
+
+
 def _led(cells: DataFrame, roots: DataFrame, low: int, high: int, keep: Keep) -> DataFrame:
     """Pairs (a, b) of a leader, whose turn is from ``low`` to ``high``, and a text of its cell whose turn is later; linked ones are left out."""
     # Links join most cells whole; a leader meets its cell in blocks.

@@ -41,7 +41,9 @@ WORDS = 8
 MOST_WINDOWS = 64
 #: Different strings that a bucket sorts in memory (about 1 KB each); beyond it windows are dealt out singly.
 HOT_STRINGS = 2000
-_CACHED = 500_000
+#: Spans to remove (with their rows) that are broadcast to where the texts are; beyond it texts travel to them, compressed.
+MOST_SPANS = 1_000_000
+_CACHED = 300_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -127,7 +129,9 @@ def packed_texts(df: DataFrame) -> DataFrame:
 def strings_of(df: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The wanted super-k-mers (doc, row, start, windows, minimiser, string, hot, first) with their packed words."""
     lists = wanted.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "windows", "minimiser", "string", "hot")).alias("w"))
-    joined = packed_texts(df.where("doc is not null")).join(lists, ["doc", "row"]).select("doc", "z", "w.start", "w.windows", "w.minimiser", "w.string", "w.hot")
+    # Texts that nobody asks for are left out before any is packed; where few are asked for, Spark does that by a broadcast of their ids.
+    asked = materialize(wanted.select("doc", "row").distinct(), "asked")
+    joined = packed_texts(df.join(asked, ["doc", "row"], "left_semi")).join(lists, ["doc", "row"]).select("doc", "z", "w.start", "w.windows", "w.minimiser", "w.string", "w.hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -249,7 +253,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(sort_buckets(packed.where("not hot"), window).unionByName(deal_windows(packed.where("hot"), window)), "repeats")
     hits = shared.select("doc", "row", "start", "minimiser", "string").join(found, ["minimiser", "string"]).where("doc > first")
     spans = hits.select("doc", "row", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("from") + F.col("number") + window - 1).alias("b"))
-    lists = spans.groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("s"))
+    lists = materialize(spans.groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("s")), "spans")
     return _without_spans(df, lists, id_col, text_col, passed or [], layout)
 
 
@@ -271,6 +275,8 @@ def _without_spans(df: DataFrame, lists: DataFrame, id_col: str, text_col: str,
     keep = [c for c in dict.fromkeys([id_col, *passed]) if c not in ("n_words", "n_removed", "kept")]
     base = df.select(F.col(f"`{id_col}`").cast("long").alias("__doc"), _key(F.col(f"`{text_col}`")).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.col(f"`{text_col}`").alias("__text"))
     z_schema = T.StructType([*base.schema.fields[:3], T.StructField("__z", T.BinaryType())])
+    same = (F.col("__doc") == F.col("doc")) & (F.col("__row") == F.col("row"))
+    packed = lists.agg(F.coalesce(F.sum(F.size("s") + 2), F.lit(0))).head()[0] > MOST_SPANS
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -279,7 +285,10 @@ def _without_spans(df: DataFrame, lists: DataFrame, id_col: str, text_col: str,
         for batch in sliced(batches, "__text"):
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([packer.compress(t) for t in as_bytes(batch.column(3))], pa.binary())], names=z_schema.names)
 
-    joined = base.mapInArrow(shrink, z_schema).join(lists, (F.col("__doc") == F.col("doc")) & (F.col("__row") == F.col("row")), "left")
+    if packed:  # texts travel
+        joined = base.mapInArrow(shrink, z_schema).join(lists, same, "left")
+    else:
+        joined = base.withColumnRenamed("__text", "__z").join(F.broadcast(lists), same, "left")
     work = joined.select("__keep", "__z", "s.a", "s.b")
     out = T.StructType([work.schema["__keep"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -289,8 +298,8 @@ def _without_spans(df: DataFrame, lists: DataFrame, id_col: str, text_col: str,
         opener = zstandard.ZstdDecompressor()
         for batch in sliced(batches, "__z"):
             total, removed, kept = [], [], []
-            for z, starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                text = opener.decompress(z)
+            for z, starts, ends in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = opener.decompress(z) if packed else z
                 words = text.split()
                 total.append(len(words))
                 stay, at, gone = [], 0, 0
