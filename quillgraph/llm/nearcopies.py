@@ -40,6 +40,8 @@ SIZE, SIMILARITY, THRESHOLD = 5, 0.8, 3
 COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
 #: Leaders of a cell in the first round, and by how much they grow with each; pairs of one leader that meet in one task.
 LEADERS, GROWTH, LEADER_BLOCK = 64, 8, 4096
+#: Pairs that a task is meant to compare.
+PAIRS_A_TASK = 1000
 #: Shingles of cells of several groups that are broadcast (8 bytes each); more are joined.
 MOST_WANTED = 2_000_000
 
@@ -270,7 +272,9 @@ def similar(pairs: DataFrame, texts: DataFrame, keep: Keep) -> DataFrame:
     """Those of the pairs (a, b) whose texts (content, z) are similar, compared by their shingles; a text with many pairs on its side a is dealt out."""
     hot = keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "hot")
     ones = F.coalesce("blocks", F.lit(1))
-    dealt = pairs.join(hot, "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), ones).cast("int")).drop("blocks")
+    # Pairs are few bytes and much work, so tasks are dealt out by their number; those of a text are next to each other.
+    tasks = max(1, -(-pairs.count() // PAIRS_A_TASK))
+    dealt = pairs.join(hot, "a", "left").withColumn("block", F.pmod(F.xxhash64("b"), ones).cast("int")).drop("blocks").repartition(tasks, "a", "block").sortWithinPartitions("a")
     wanted = texts.select(F.col("content").alias("a"), F.col("z").alias("za")).join(hot, "a", "left").withColumn("block", F.explode(F.sequence(F.lit(0), ones - 1))).drop("blocks")
     both = dealt.join(texts.select(F.col("content").alias("b"), F.col("z").alias("zb")), "b").join(wanted, ["a", "block"])
 
