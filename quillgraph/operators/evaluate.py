@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources import tei
 from ..sources.tei import Letter, local, project
 from . import scores, spans
-from .enrich import serialised, unwrap
+from .enrich import dissolve, serialised
 from .recognise import Span, trimmed
 
 GOLD = "letter string, block int, block_type string, start int, end int, kind string, text string, excluded string"
@@ -45,12 +45,10 @@ def scan_gold(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def strip_references(content: bytes) -> bytes:
-    """The letter without typed references in its body, innermost first; their text stays."""
+    """The letter without typed references in its body; their text stays."""
     letter = Letter(content)
-    inside = [n for b in letter.blocks() for n in [b, *b.iter()]]
-    for node in reversed(list(dict.fromkeys(inside))):
-        if tei.is_element(node) and tei.name_kind(node) and node in letter.parents:
-            unwrap(letter.parents, node)
+    inside = {n for b in letter.blocks() for n in b.iter()} - {letter.root}
+    dissolve(letter.root, {n for n in inside if tei.is_element(n) and tei.name_kind(n)})
     return serialised(letter.root)
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a temporary folder takes its place."""
+    """``spark.checkpoint.dir``, or the folder set on the context. Where neither is, a local session gets a temporary one; a cluster, whose machines would not share it, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     inner = spark.sparkContext._jsc.sc().getCheckpointDir()
     if inner.isDefined():
         return str(inner.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="quill-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
