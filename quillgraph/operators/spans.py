@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.taken import Taken
+
 
 def _bucketed(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """A row for each bucket that [start, end) touches; empty spans touch none."""
@@ -102,12 +104,8 @@ def greedy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def choose(rows: list[dict]) -> list[int]:
         rank = lambda k: (-(1.0 if rows[k]["score"] is None else rows[k]["score"]), rows[k]["start"] - rows[k]["end"], rows[k]["start"], rows[k]["kind"] or "")
-        kept: list[int] = []
-        for k in sorted(range(len(rows)), key=rank):
-            a, b = rows[k]["start"], rows[k]["end"]
-            if all(b <= rows[j]["start"] or rows[j]["end"] <= a for j in kept):
-                kept.append(k)
-        return kept
+        taken = Taken()
+        return [k for k in sorted(range(len(rows)), key=rank) if taken.take(rows[k]["start"], rows[k]["end"])]
 
     return _chosen(_runs(df, keys, F.col("start"), F.col("end")), keys, ["start", "end", "kind", "score"], choose)
 
@@ -135,16 +133,31 @@ def match_one_to_one(gold: DataFrame, predicted: DataFrame, keys: Sequence[str],
     return taken.select(*keys, F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("r_start").alias("p_start"), F.col("r_end").alias("p_end"), "shared")
 
 
-def passages(documents: DataFrame, needles: DataFrame, words: int = 8) -> DataFrame:
+#: Words of a needle that are looked up together; the least number of words for that; needles without so many that are looked for in each text.
+HEAD, HEADED, MOST_PLAIN = 6, 8, 1000
+
+
+def passages(documents: DataFrame, needles: DataFrame) -> DataFrame:
     """First place of each needle (needle_id, needle) in each document (doc_id, text) that holds it: adds ``start`` and ``end``.
 
-    A needle's first ``words`` words are looked up among those of all places of the documents, then compared in full. Needles of fewer
-    words are not looked for.
+    A needle may begin and end within words, so its first and last word are not looked up: HEAD words from its second on are, among
+    those of all places of the documents, and hits are compared in full. Needles of fewer than HEADED words are compared with every text
+    (MOST_PLAIN of them at most, which are broadcast; more raise a ValueError). Empty and null needles are nowhere.
     """
-    spaces = r"\s+"
-    head = needles.where(F.size(F.split(F.trim("needle"), spaces)) >= words).withColumn("__head", F.xxhash64(F.array_join(F.slice(F.split(F.trim("needle"), spaces), 1, words), " ")))
-    each = documents.withColumn("__w", F.filter(F.split("text", spaces), lambda w: w != ""))
-    hashed = each.withColumn("__h", F.transform(F.array("__w"), lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, words), " "))))[0])
-    candidates = hashed.select("doc_id", F.explode(F.array_distinct("__h")).alias("__head")).join(head, "__head").select("doc_id", "needle_id", "needle").distinct()
-    found = candidates.join(documents, "doc_id").withColumn("start", F.expr("instr(text, needle) - 1").cast("int")).where("start >= 0")
+    words = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    parted = needles.where("needle <> ''").withColumn("__w", words(F.col("needle")))
+    head = parted.where(F.size("__w") >= HEADED).withColumn("__head", F.xxhash64(F.array_join(F.slice("__w", 2, HEAD), " "))).drop("__w")
+    plain = parted.where(F.size("__w") < HEADED).select("needle_id", "needle")
+    each = documents.where("text IS NOT NULL")
+    places = F.transform(F.array(words(F.col("text"))), lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (HEAD - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, HEAD), " "))))[0]
+    hashed = each.select("doc_id", F.explode(F.array_distinct(places)).alias("__head"))
+    candidates = hashed.join(head, "__head").select("doc_id", "needle_id", "needle").distinct().join(each, "doc_id")
+    few = plain.count()
+    if few > MOST_PLAIN:
+        raise ValueError(f"{few} needles of fewer than {HEADED} words; at most {MOST_PLAIN} can be looked for")
+    if few:
+        listed = F.array(*[F.struct(F.lit(r["needle_id"]).alias("needle_id"), F.lit(r["needle"]).alias("needle")) for r in plain.collect()])
+        held = each.select("doc_id", "text", F.explode(F.filter(listed, lambda n: F.contains("text", n["needle"]))).alias("n"))
+        candidates = candidates.select("doc_id", "needle_id", "needle", "text").unionByName(held.select("doc_id", "n.needle_id", "n.needle", "text"))
+    found = candidates.withColumn("start", F.expr("instr(text, needle) - 1").cast("int")).where("start >= 0")
     return found.select("doc_id", "needle_id", "needle", "text", "start", (F.col("start") + F.length("needle")).cast("int").alias("end"))

@@ -27,8 +27,9 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEAD = f"PREFIX : <http://example.org/> PREFIX supplier: <urn:supplier:> # type {T}\n"
 
 
-@query(f"""WITH q AS ({QUADS_SQL}) SELECT d.s AS doc, r.o AS entity, c.o AS class, l.o AS label FROM q d JOIN q r ON r.s = d.s AND r.p = '{REFERS}'
-  JOIN q c ON c.s = r.o AND c.p = '{TYPE}' JOIN q l ON l.s = r.o AND l.p = '{LABEL}' WHERE d.p = '{TYPE}' AND d.o = 'Document' AND c.o IN ('Group', 'Place')""")
+@query(f"""WITH r AS ({REFERENCES_SQL}), named AS (
+  SELECT 'urn:supplier:' || s_suppkey AS entity, 'Group' AS class, s_name AS label FROM supplier UNION ALL SELECT 'urn:nation:' || n_nationkey, 'Place', n_name FROM nation)
+SELECT 'urn:order:' || o_orderkey AS doc, entity, class, label FROM r JOIN named USING (entity)""")
 def sparql_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons and places of documents, as a query text."""
     text = _HEAD + "SELECT ?doc ?entity ?class ?label WHERE { ?doc :type <Document> ; :refersTo ?entity . ?entity :type ?class ; :label ?label . FILTER(?class IN (<Group>, <Place>)) }"
@@ -52,8 +53,9 @@ def sparql_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparql.query(spark, statements(spark, sf_dir), text)
 
 
-@query(f"""WITH r AS ({REFERENCES_SQL} ) SELECT 'urn:order:' || o.o_orderkey AS doc, r.entity AS part FROM orders o LEFT JOIN (SELECT * FROM r WHERE entity LIKE 'urn:part:%') r ON r.o_orderkey = o.o_orderkey
-WHERE 'urn:order:' || o.o_orderkey NOT IN (SELECT 'urn:order:' || o_orderkey FROM r WHERE entity = 'urn:nation:3')""")
+@query(f"""WITH r AS MATERIALIZED ({REFERENCES_SQL}), parts AS (SELECT o_orderkey, entity FROM r WHERE starts_with(entity, 'urn:part:')),
+gone AS (SELECT o_orderkey FROM r WHERE entity = 'urn:nation:3')
+SELECT 'urn:order:' || o.o_orderkey AS doc, p.entity AS part FROM orders o ANTI JOIN gone USING (o_orderkey) LEFT JOIN parts p ON p.o_orderkey = o.o_orderkey""")
 def sparql_optional_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OPTIONAL with a filter inside, and MINUS."""
     text = _HEAD + """SELECT ?doc ?part WHERE { ?doc :type <Document> OPTIONAL { ?doc :refersTo ?part FILTER(STRSTARTS(STR(?part), "urn:part:")) } MINUS { ?doc :refersTo <urn:nation:3> } }"""

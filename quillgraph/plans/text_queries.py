@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.taken import Taken
 from ..functions.text import OccurrenceFinder, context, tokens
 from ..operators import samples, scores, spans
 from .registry import query
@@ -151,11 +152,9 @@ def glossary_matches(texts: DataFrame, terms: dict[str, list[str]]) -> DataFrame
         for batch in batches:
             rows = []
             for doc, block, text in zip(batch["doc_id"], batch["block"], batch["text"], strict=True):
-                taken: list[tuple[int, int]] = []
-                for a, b, kind in sorted(finder.find(text or ""), key=lambda x: (x[0] - x[1], x[0], x[2])):
-                    if all(b <= c or d <= a for c, d in taken):
-                        taken.append((a, b))
-                        rows.append((doc, block, a, b, kind))
+                taken = Taken()
+                found = sorted(finder.find(text or ""), key=lambda x: (x[0] - x[1], x[0], x[2]))
+                rows += [(doc, block, a, b, kind) for a, b, kind in found if taken.take(a, b)]
             yield pd.DataFrame(rows, columns=["doc_id", "block", "start", "end", "kind"])
 
     return texts.mapInPandas(run, "doc_id long, block int, start int, end int, kind string")
