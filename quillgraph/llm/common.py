@@ -10,21 +10,12 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_folder
+
 #: Bytes of text that one Python step holds at a time; a batch from Arrow is cut into slices of about this size.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or the one set on the context; an error where neither is, as a local one would not do on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    inner = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if inner.isDefined():
-        return str(inner.get()).rstrip("/")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-
-
 def _written(df: DataFrame, at: str) -> DataFrame:
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
@@ -36,7 +27,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts lineage like ``checkpoint()`` but keeps only compressed columns, so later steps read the columns they need,
     and a lost executor costs no recomputation of what came before.
     """
-    return _written(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+    return _written(df, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
 
 
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -45,7 +36,7 @@ Keep = Callable[[DataFrame, str], DataFrame]
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Keep]:
     """A ``materialize`` for steps in between: its tables are deleted at the end. What is read later must be written with the plain one."""
-    at = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
     number = 0
 
     def keep(df: DataFrame, label: str) -> DataFrame:
