@@ -9,11 +9,14 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_folder
 
 #: Bytes of text that one Python step holds at a time; a batch from Arrow is cut into slices of about this size.
 SLICE_BYTES = 2 << 20
+#: Rows of two or three numbers that are broadcast (some 80 bytes each in memory).
+BROADCAST_ROWS = 500_000
 
 
 def _written(df: DataFrame, at: str) -> DataFrame:
@@ -51,6 +54,16 @@ def scratch(spark: SparkSession) -> Iterator[Keep]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame) -> bool:
+    """Whether a written table of short rows may be broadcast: it has at most BROADCAST_ROWS."""
+    return df.count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast where ``few`` allows it; else Spark chooses."""
+    return F.broadcast(df) if few(df) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Keep, as_bytes, materialize, scratch, sliced, unused
+from .common import Keep, as_bytes, materialize, scratch, sliced, small, unused
 from .simhash import COUNTED, SEED, components, links, shingles
 
 #: Independent fingerprints of a text.
@@ -263,7 +263,7 @@ def _texts(base: DataFrame, pairs: DataFrame, nodes: DataFrame, keep: Keep) -> D
             content = [content_of(words_of(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())], names=["content", "z"])
 
-    packed = base.join(places, ["id", "row"], "left_semi").select("text").mapInArrow(run, "content long, z binary")
+    packed = base.join(small(places), ["id", "row"], "left_semi").select("text").mapInArrow(run, "content long, z binary")
     # A row may repeat as a whole.
     return keep(packed.groupBy("content").agg(F.min("z").alias("z")), "texts")
 
@@ -358,8 +358,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         gone = materialize(groups.where(~stays).select(*names), "gone")
         again = materialize(groups.where(stays & (F.col("copies") > 1)).select(*names), "again")
     keyed = df.withColumn(own, F.col(f"`{id_col}`")).withColumn(row, _row(F.col(f"`{text_col}`")))
-    stay = keyed.join(gone, [own, row], "left_anti")  # a null id meets none
+    stay = keyed.join(small(gone), [own, row], "left_anti")  # a null id meets none
     if again.head(1):
-        once = stay.join(again, [own, row], "left_semi").dropDuplicates([own, row])
-        stay = stay.join(again, [own, row], "left_anti").unionByName(once)
+        once = stay.join(small(again), [own, row], "left_semi").dropDuplicates([own, row])
+        stay = stay.join(small(again), [own, row], "left_anti").unionByName(once)
     return stay.select(*[F.col(f"`{c}`") for c in df.columns])

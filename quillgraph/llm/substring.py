@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialize, sliced
+from .common import as_bytes, few, materialize, sliced
 
 #: Words of a minimiser, at most.
 WORDS = 8
@@ -129,9 +129,10 @@ def packed_texts(df: DataFrame) -> DataFrame:
 def strings_of(df: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The wanted super-k-mers (doc, row, start, windows, minimiser, string, hot, first) with their packed words."""
     lists = wanted.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "windows", "minimiser", "string", "hot")).alias("w"))
-    # Texts that nobody asks for are left out before any is packed; where few are asked for, Spark does that by a broadcast of their ids.
+    # Where few texts are asked for, others are left out by a broadcast of ids before any is packed; else all travel, packed.
     asked = materialize(wanted.select("doc", "row").distinct(), "asked")
-    joined = packed_texts(df.join(asked, ["doc", "row"], "left_semi")).join(lists, ["doc", "row"]).select("doc", "z", "w.start", "w.windows", "w.minimiser", "w.string", "w.hot")
+    named = df.where("doc is not null")
+    joined = packed_texts(named.join(F.broadcast(asked), ["doc", "row"], "left_semi") if few(asked) else named).join(lists, ["doc", "row"]).select("doc", "z", "w.start", "w.windows", "w.minimiser", "w.string", "w.hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
