@@ -39,7 +39,7 @@ SIZE, SIMILARITY, THRESHOLD = 5, 0.8, 3
 #: Shingle hashes counted at once for hot ones; how often a hot one is met in such counts; the most hot ones (broadcast).
 COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
 #: Leaders of a cell in the first round, and by how much they grow with each; pairs of one leader that meet in one task.
-LEADERS, GROWTH, LEADER_BLOCK = 64, 8, 4096
+LEADERS, GROWTH, LEADER_BLOCK = 16, 8, 4096
 #: Pairs that a task is meant to compare.
 PAIRS_A_TASK = 1000
 #: Shingles of cells of several groups that are broadcast (8 bytes each); more are joined.
@@ -201,7 +201,8 @@ def _cells(keys: DataFrame, roots: DataFrame, keep: Keep) -> DataFrame:
     mixed = keep(grouped.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), "mixed")
     live = keep(_among(keys, mixed).distinct(), "live")
     sizes = keep(live.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    turn = F.pmod(F.xxhash64("h", "content", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("size")
+    # A text's place is the same share of each of its cells, so cells of the same texts have the same leaders, and a pair is compared once.
+    turn = F.pmod(F.xxhash64("content", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("size")
     return keep(live.join(sizes, "h").withColumn("turn", turn), "members")
 
 
