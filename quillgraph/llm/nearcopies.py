@@ -11,7 +11,7 @@ What it leaves is found completely, by prefix filtering. Put the distinct shingl
 similarity with n shingles each, the first 0.2 n + 1 have one in common. The order is that of hashes, but shingles that many texts
 have come last, so that they are rarely among the first. Texts with a shingle among their first in common are a cell. One aggregation
 of (shingle, group so far) leaves the cells that hold texts of different groups; only their rows go further. Pairs of such a
-cell whose sizes and places allow the similarity are compared exactly, unless links join them already. In a large
+cell whose sizes, places and sketches (parities of shingle hashes) allow the similarity are compared exactly, unless links join them already. In a large
 cell some texts lead: they are compared with all others, then links are followed, then more lead, until all have. So a large
 group of copies is joined by its first leaders, and no pair that is similar stays apart. Groups are components over the links.
 
@@ -40,6 +40,8 @@ SIZE, SIMILARITY, THRESHOLD = 5, 0.8, 3
 COUNT_AT, HOT, MOST_HOT = 1 << 20, 100, 65_536
 #: Leaders of a cell in the first round, and by how much they grow with each; pairs of one leader that meet in one task.
 LEADERS, GROWTH, LEADER_BLOCK = 16, 8, 4096
+#: Bits of a sketch, a power of two.
+SKETCH_BITS = 512
 #: Pairs that a task is meant to compare.
 PAIRS_A_TASK = 1000
 #: Shingles of cells of several groups that are broadcast (8 bytes each); more are joined.
@@ -90,6 +92,12 @@ def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.unique(out.view("i8"))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The number of distinct shingle hashes, then, for each value of their first bits, whether an odd number has it, packed."""
+    odd = np.bincount((hashes.view("u8") >> np.uint64(65 - SKETCH_BITS.bit_length())).astype("i8"), minlength=SKETCH_BITS) & 1
+    return np.append(np.array([len(hashes)], "i8"), np.packbits(odd.astype("u1"), bitorder="little").view("<i8"))
+
+
 def first_shingles(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Those of a text's shingles of which a similar text shares one; ``hot`` (sorted) come last. One more, lest hashes be equal."""
     late = np.isin(hashes, hot, assume_unique=True)
@@ -112,9 +120,9 @@ def _longs(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _digests(base: DataFrame) -> DataFrame:
-    """For rows (id, row, text): (id, row, content, fps), and rows without content: counts of shingles that recur nearby (hs, ns)."""
+    """For rows (id, row, text): (id, row, content, fps, sketch), and rows without content: counts of shingles that recur nearby (hs, ns)."""
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([base.schema["id"], base.schema["row"], *[T.StructField(c, t) for c, t in (("content", T.LongType()), ("fps", longs), ("hs", longs), ("ns", longs))]])
+    schema = T.StructType([base.schema["id"], base.schema["row"], *[T.StructField(c, t) for c, t in (("content", T.LongType()), ("fps", longs), ("sketch", longs), ("hs", longs), ("ns", longs))]])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,20 +133,21 @@ def _digests(base: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             more = n > 1
             none = pa.nulls(1, pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), none, _longs([h[more]]), _longs([n[more].astype("i8")])], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), none, none, _longs([h[more]]), _longs([n[more].astype("i8")])], names=schema.names)
 
         for batch in sliced(batches, 2):
             id_type = batch.schema.field(0).type
-            content, fps = [], []
+            content, fps, sketches = [], [], []
             for text in as_bytes(batch.column(2)):
                 words = words_of(text)
                 hashes = word_hashes(words)
                 content.append(content_of(words))
                 fps.append(fingerprints(hashes).view("i8"))
                 held.append(shingle_hashes(hashes))
+                sketches.append(sketch(held[-1]))
                 size += len(held[-1])
             none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.int64()), _longs(fps), none, none], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.int64()), _longs(fps), _longs(sketches), none, none], names=schema.names)
             if size >= COUNT_AT:
                 yield counts()
                 held, size = [], 0
@@ -250,6 +259,18 @@ def _led(cells: DataFrame, roots: DataFrame, low: int, high: int, keep: Keep) ->
     return met.select(F.least("a_content", "b_content").alias("a"), F.greatest("a_content", "b_content").alias("b")).distinct()
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those whose sketches rule the similarity out: texts differ by as many shingles at least as their sketches by bits.
+
+    Of m and n shingles, similar texts have (m + n) (1 - s) / (1 + s) at most that are not in common; two more are let pass, lest hashes be equal.
+    """
+    side = lambda x: nodes.select(F.col("content").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(F.slice(bits, 2, SKETCH_BITS // 64), F.lit(0), lambda total, n: total + n)
+    most = (F.col("sketch_a")[0] + F.col("sketch_b")[0]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 2
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= most).select("a", "b")
+
+
 def _texts(base: DataFrame, pairs: DataFrame, nodes: DataFrame, keep: Keep) -> DataFrame:
     """(content, z): the compressed text of each content that is in a pair. Other texts are not moved where the ids wanted are few enough to broadcast."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
@@ -309,12 +330,12 @@ def _row(text: Column) -> Column:
 def _groups(base: DataFrame, keep: Keep) -> DataFrame:
     """(id, row, copies, first) of each distinct (id, row) of rows (id, row, text): how often it comes, and its group's smallest (id, row)."""
     digests = keep(_digests(base), "digests")
-    seen = digests.where("content IS NOT NULL").groupBy("id", "row", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("fps").alias("fps"))
+    seen = digests.where("content IS NOT NULL").groupBy("id", "row", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch"))
     seen = keep(seen, "seen")
-    nodes = keep(seen.groupBy("content").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fps").alias("fps")), "nodes")
+    nodes = keep(seen.groupBy("content").agg(F.min(F.struct("id", "row")).alias("first"), F.min("fps").alias("fps"), F.min("sketch").alias("sketch")), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs, "pairs")
+        pairs = keep(_likely(keep(pairs, "met"), nodes), "pairs")
         return keep(similar(pairs, _texts(base, pairs, nodes, keep), keep), "links")
 
     roots = components(linked(_proposed(nodes, keep)), keep)
