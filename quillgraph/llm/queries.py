@@ -21,6 +21,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text. Null is as empty: no tokens, digests of nothing. A row for each row, repeats and null ids included; empty tables give none."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), emit=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
@@ -37,6 +38,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text; learnt from labels that are not held out. Null and empty texts score as the intercept, null ids are not held out. Without labels of both kinds all scores are one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False))).alias("held_out"), "text")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep=["doc_id", "held_out"])
@@ -44,16 +46,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the ids of every text into rows, each with its segments. Null and empty texts add their end id alone; repeated rows are packed each; an empty table gives no rows."""
     return tokenbin.pack_token_rows(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format every conversation and read it back. Null texts and roles are empty; equal turns go by role, then text; orders of roles that are not valid are formatted and flagged."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
     return chat.read_back(chat.format_chats(rows.unionByName(spark.sql(own))))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Take repeated 50-word windows out of every text. A null text has no words; a row with a null id loses nothing and takes nothing; rows that repeat an id are judged against smaller ids."""
     done = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
@@ -62,25 +67,30 @@ URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "a
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every url, by rules first. A null url or one without :// has an empty host and path, and the verdict of the model; the longest rule wins; repeated rows are judged each."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, URL_RULES, urlfilter.train(spark)).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every text into few sequences. Null and empty texts are one piece, the end id; rows that repeat an id are packed each; an empty table gives no pieces."""
     return bestfit.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every text by its lines. Null and empty texts have no words and fail; repeated rows are judged each; an empty table gives no rows."""
     judged = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
     return judged.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of the query vectors. Null, zero and not finite vectors take no part; of rows that share an id the nearest counts; ties go to the smaller id; fewer candidates give fewer rows."""
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all texts. Null and empty texts have fingerprint zero, linked like any other; rows that repeat an id each have a row; an empty table gives none."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -121,7 +121,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: s
     n = rows.count()
     if n > TRAIN_ROWS:
         cut = int(0.97 * TRAIN_ROWS / n * (1 << 32))
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 32)) < cut).limit(TRAIN_ROWS)
+        place = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1 << 32))
+        rows = rows.where(place < cut).orderBy(place, "__id", "label").limit(TRAIN_ROWS)  # an order, so that the same rows are learnt from each time
     return docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(rows), F.col("__doc") == F.col("__id")).select("text", "label")
 
 
@@ -207,7 +208,7 @@ def train(labelled: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["f", "y"])
 
     # At most TRAIN_ROWS rows (more only if the table repeats ids) of kept features, packed.
-    rows = labelled.select("text", "label").mapInArrow(run, "f binary, y int").limit(2 * TRAIN_ROWS).toArrow()
+    rows = labelled.select("text", "label").mapInArrow(run, "f binary, y int").orderBy("f", "y").limit(2 * TRAIN_ROWS).toArrow()
     packed = rows.column("f").to_pylist()
     row = np.repeat(np.arange(len(packed), dtype="i4"), [len(f) // 4 for f in packed])
     weights, bias = fit(row, np.frombuffer(b"".join(packed), "<i4"), rows.column("y").to_numpy().astype("f8"), ratios)
