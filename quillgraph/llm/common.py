@@ -81,14 +81,14 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a slice holds about SLICE_BYTES of ``column`` (one row at least)."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a slice holds about ``size`` bytes of ``column`` (one row at least)."""
     give_back()
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        step = max(1, int(n * SLICE_BYTES / max(1, batch.column(column).nbytes)))
+        step = max(1, int(n * size / max(1, batch.column(column).nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
     give_back()

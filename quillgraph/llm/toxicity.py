@@ -36,30 +36,49 @@ TRAIN_ROWS, MOST_FEATURES = 12_000, 5_000
 LEAST_ROWS, LEAST_Z = 4, 3.0
 SMOOTH = 0.5
 #: Words that a worker keeps the features of, and the length of those it keeps.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 100_000, 64
+#: Characters, and words, whose n-grams are made at a time, and bytes of text whose features are counted at a time.
+PIECE, WORDS_AT_ONCE, TRAIN_BYTES = 1 << 15, 10_000, 1 << 18
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the word in the list, hashed n-gram), in order of place; n-grams of a word may repeat. Words hold no spaces."""
-    x = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), "<u4").astype("u8")
-    spaces = np.cumsum(x == 32)
-    places, features = [], []
-    for n in SIZES:
-        m = len(x) - n + 1
-        if m <= 0:
-            continue
-        h = np.zeros(m, "u8")
-        for k in range(n):
-            h = h * np.uint64(0x100000001B3) + x[k : k + m]
-        h = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        inside = np.flatnonzero(spaces[n - 2 : n - 2 + m] == spaces[:m])
-        places.append(spaces[inside] - 1)
-        features.append((h[inside] >> np.uint64(64 - BITS)).astype("i4"))
-    place, feature = np.concatenate(places), np.concatenate(features)
-    order = np.argsort(place, kind="stable")
-    return place[order], feature[order]
+    """(place of the word in the list, hashed n-gram), in order of place; n-grams of a word may repeat. Words hold no spaces.
+
+    The joined words are worked through PIECE characters at a time, so that memory beyond the result doesn't grow with them.
+    """
+    chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), "<u4")
+    places, features, before = [], [], 0
+    for at in range(0, len(chars), PIECE):
+        x = chars[at : at + PIECE + SIZES[-1] - 1].astype("u8")
+        own = min(PIECE, len(chars) - at)  # n-grams that start in this piece
+        spaces = before + np.cumsum(x == 32)
+        few, before = spaces[own - 1] - before < own // 64, int(spaces[own - 1])
+        place, feature = [], []
+        for n in SIZES:
+            m = min(own, len(x) - n + 1)
+            if m <= 0:
+                continue
+            h = np.zeros(m, "u8")
+            for k in range(n):
+                h = h * np.uint64(0x100000001B3) + x[k : k + m]
+            h = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            inside = np.flatnonzero(spaces[n - 2 : n - 2 + m] == spaces[:m])
+            place.append((spaces[inside] - 1).astype("i4"))
+            feature.append((h[inside] >> np.uint64(64 - BITS)).astype("i4"))
+        if place:
+            found = np.concatenate(place), np.concatenate(feature)
+            if few:  # long words: what repeats in a piece stands once
+                keys = np.unique(found[0].astype("i8") << BITS | found[1])
+                found = (keys >> BITS).astype("i4"), (keys & (1 << BITS) - 1).astype("i4")
+            else:
+                order = np.argsort(found[0], kind="stable")
+                found = found[0][order], found[1][order]
+            places.append(found[0])
+            features.append(found[1])
+    none = np.zeros(0, "i4")
+    return np.concatenate(places or [none]), np.concatenate(features or [none])
 
 
 @dataclass
@@ -77,18 +96,19 @@ class Scorer:
     def __init__(self, features: np.ndarray):
         self._index = np.full(1 << BITS, -1, "i4")
         self._index[features] = np.arange(len(features))
+        self._numbers = list(range(len(features)))  # one object for each, however many words have it
         self._words: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         found: dict[str, tuple[int, ...]] = dict.fromkeys(words, ())
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
             place, feature = word_features(some)
             index = self._index[feature]
             place, index = place[index >= 0], index[index >= 0]
             edges = np.flatnonzero(np.diff(place)) + 1
             for which, own in zip(place[np.concatenate(([0], edges))].tolist() if len(place) else (), np.split(index, edges), strict=False):
-                found[some[which]] = tuple(set(own.tolist()))
+                found[some[which]] = tuple(map(self._numbers.__getitem__, set(own.tolist())))
         return found
 
     def rows(self, texts: list[str]) -> list[list[int]]:
@@ -132,7 +152,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), "i4")
         rows = [0, 0]
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TRAIN_BYTES):
             split = [list(set(t.decode("utf-8", "replace").lower().split())) for t in as_bytes(batch.column(0))]
             every = list(set().union(*split))
             number = {w: k for k, w in enumerate(every)}

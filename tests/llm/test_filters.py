@@ -6,6 +6,7 @@ import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,17 @@ def test_word_features_are_a_words_own():
     assert len(own[1]) == 1
 
 
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    words = ["abcdefg", "x", "äöü漢字", "ab" * 500, "\U0001f600" * 40, "c" * 300, "de"]
+    pairs = lambda: {(p, f) for p, f in zip(*map(np.ndarray.tolist, toxicity.word_features(words)), strict=True)}
+    whole = pairs()
+    for piece in (1, 2, 5, 64, 1000):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        place, _ = toxicity.word_features(words)
+        assert pairs() == whole and (np.diff(place) >= 0).all()
+    assert [len(x) for x in toxicity.word_features([])] == [0, 0]
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(["you idiot", "kind words here", None, "", "idiot " * 3, "long" * 50000])] + [(None, "x", "z")], "doc_id long, text string, __text string")
     labels = spark.createDataFrame([(0, 1), (1, 0), (3, None), (None, 1)], "doc_id long, toxic int")
